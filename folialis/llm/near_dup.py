@@ -4,7 +4,7 @@ Method. The fingerprint of a text has one symbol for each of BLOCKS * WIDTH minw
 texts of similarity s differ in a share 1 - s of the symbols. It is split into BLOCKS blocks. Two fingerprints that
 differ in fewer symbols than there are blocks share a block for certain, by the pigeonhole principle; at the lowest
 similarity asked for, 0.5, a block of four symbols is shared with probability 1 - (1 - 0.5**4)**64 = 0.984, at 0.6
-with 0.9999. The join on blocks gives candidates; the Hamming distance of a 256-bit sketch (one bit of each symbol)
+with 0.9999. The join on blocks gives candidates; the Hamming distance of a sketch of two bits of each symbol
 drops those that are clearly apart; those not clearly close are then compared exactly by their sets of shingles.
 
 Scale. Texts of one word sequence form a class, and only the smallest id of a class is compared, so that copies cost
@@ -31,12 +31,14 @@ M = BLOCKS * WIDTH
 #: Standard deviations of the sketch's estimate within which a pair is compared exactly.
 SIGMAS = 4.5
 
-_PRINT = "id long, c1 long, c2 long, s0 long, s1 long, s2 long, s3 long, blocks array<long>"
+#: 64-bit words of a sketch.
+SKETCH = M * 2 // 64
+_PRINT = "id long, c1 long, c2 long, " + "".join(f"s{j} long, " for j in range(SKETCH)) + "blocks array<long>"
 
 
 def _fingerprints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*((c, pa.int64()) for c in ("id", "c1", "c2", "s0", "s1", "s2", "s3")), ("blocks", pa.list_(pa.int64()))])
+        schema = pa.schema([*((c, pa.int64()) for c in ("id", "c1", "c2", *(f"s{j}" for j in range(SKETCH)))), ("blocks", pa.list_(pa.int64()))])
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for lo, hi in W.chunks(texts):
@@ -47,7 +49,9 @@ def _fingerprints(k: int):
                     continue
                 sig = W.minwise(h, at, M)
                 c1, c2 = (W.sequence_hash(words, first, s)[has].view(np.int64) for s in (1, 2))
-                bits = np.packbits((sig >> np.uint32(24)) & np.uint32(1), axis=1).view(np.int64)
+                # the symbols are minima, so their own high bits are mostly 0: bits are taken after mixing
+                two = (W.mix(sig.astype(np.uint64))[:, :, None] >> np.array([40, 41], np.uint64)) & np.uint64(1)
+                bits = np.packbits(two.reshape(len(has), 2 * M).astype(np.uint8), axis=1).view(np.int64)
                 # a block's key: its number and 52 bits of its symbols
                 sym = sig.reshape(len(has), BLOCKS, WIDTH).astype(np.uint64)
                 key = np.zeros((len(has), BLOCKS), np.uint64)
@@ -55,7 +59,7 @@ def _fingerprints(k: int):
                     key = W.mix(key * np.uint64(31) + sym[:, :, j])
                 key = (key >> np.uint64(8)) << np.uint64(6) | np.arange(BLOCKS, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][has]), pa.array(c1), pa.array(c2), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4)),
+                    [pa.array(ids[lo:hi][has]), pa.array(c1), pa.array(c2), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(SKETCH)),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, len(has) * BLOCKS + 1, BLOCKS, dtype=np.int32)), pa.array(key.view(np.int64).ravel()))],
                     schema=schema,
                 )
@@ -69,8 +73,8 @@ def _shingle_sets(k: int):
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for lo, hi in W.chunks(texts):
                 h, at = W.shingle_hashes(*W.word_hashes(texts[lo:hi]), k)
-                sets = [np.unique(h[at[i] : at[i + 1]] >> np.uint64(16)).view(np.int64) for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+                sets = [np.unique(h[at[i] : at[i + 1]] >> np.uint64(32)).astype(np.uint32).view(np.int32) for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(sets, pa.list_(pa.int32()))], names=["id", "set"])
 
     return run
 
@@ -100,18 +104,20 @@ class NearDuplicates:
     def _links(rows: DataFrame, reps: DataFrame, shingle: int, threshold: float) -> DataFrame:
         keyed = reps.select("id", F.explode("blocks").alias("key"))
         pairs = keyed.select(F.col("id").alias("a"), "key").join(keyed.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-        sketch = reps.select("id", "s0", "s1", "s2", "s3").dropDuplicates(["id"])
+        sketch = reps.select("id", *(f"s{j}" for j in range(SKETCH))).dropDuplicates(["id"])
         for side in ("a", "b"):
-            pairs = pairs.join(sketch.select(F.col("id").alias(side), *(F.col(f"s{j}").alias(f"{side}{j}") for j in range(4))), side)
-        bits = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(4)), F.lit(0))
-        # a bit differs with probability (1 - s) / 2
-        p = (1 - threshold) / 2
+            pairs = pairs.join(sketch.select(F.col("id").alias(side), *(F.col(f"s{j}").alias(f"{side}{j}") for j in range(SKETCH))), side)
+        # symbols of two bits: a symbol differs if either bit does
+        apart = [F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}")) for j in range(SKETCH)]
+        differ = sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in apart), F.lit(0))
+        # one of four values is equal by chance
+        p = (1 - threshold) * 3 / 4
         slack = SIGMAS * (max(p * (1 - p), 0.05) / M) ** 0.5
-        share = bits / F.lit(float(M))
+        share = differ / F.lit(float(M))
         near = written(pairs.where(share <= p + slack).select("a", "b", (share <= max(p - slack, 0.0)).alias("sure")), "near")
         doubt = near.where("not sure").select("a", "b")
         wanted = doubt.select(F.col("a").alias("id")).union(doubt.select(F.col("b").alias("id"))).distinct()
-        sets = rows.join(wanted, "id", "left_semi").mapInArrow(_shingle_sets(shingle), "id long, set array<long>").dropDuplicates(["id"])
+        sets = rows.join(wanted, "id", "left_semi").mapInArrow(_shingle_sets(shingle), "id long, set array<int>").dropDuplicates(["id"])
         exact = (
             doubt.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")

@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folialis.llm.bpe import token_ids
+from folialis.llm.components import components
+from folialis.llm.names import link_papers
 from folialis.llm.near_dup import NearDuplicates
 from folialis.llm.packing import context_length, pack
+from folialis.llm.survivor import choose, credible, doi_edges, usable_doi, usable_venue
+from folialis.operators.multivalue import split_values
+from folialis.sources.storage import written
 from folialis.sources.tables import table
 
+#: When the library was copied (a fixed value of the test tables).
+COPIED = "2025-06-30 00:00:00"
+
 
 def near_papers(papers: DataFrame) -> NearDuplicates:
     """Papers by runs of three words of title and full text, half of them in common."""
@@ -20,6 +28,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_papers(table(spark, d, "papers")).pairs().select(F.col("a").alias("paper_id_a"), F.col("b").alias("paper_id_b"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    papers = table(spark, d, "papers")
+    authors = split_values(papers, "id", ["authors"]).select(F.col("id").alias("paper_id"), F.lit("author").alias("kind"), F.col("item").alias("name"))
+    venues = papers.select(F.col("id").alias("paper_id"), F.lit("venue").alias("kind"), F.col("venue").alias("name"))
+    registers = [table(spark, d, f"{k}_register").select(F.lit(k).alias("kind"), "ref_id", "full_name") for k in ("author", "venue")]
+    return link_papers(written(authors.union(venues).where(F.trim("name") != ""), "named"), registers[0].union(registers[1]))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    papers = table(spark, d, "papers")
+    dois = papers.select("id", usable_doi(F.col("doi")).alias("doi"))
+    groups = components(near_papers(papers).edges().union(doi_edges(dois)))
+    rows = papers.select("id", "doi", "venue", "created_at", "updated_at").join(groups, "id")
+    values = {"doi": usable_doi(F.col("doi")), "venue": usable_venue(F.col("venue"))}
+    trust = credible(F.col("updated_at"), F.col("created_at"), COPIED)
+    return choose(rows, "component", "id", values, F.col("updated_at"), trust, now=COPIED).withColumnRenamed("component", "group_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -28,5 +54,5 @@ def p7_prompts(spark: SparkSession, d: str, entry: str = "tarn-2") -> DataFrame:
     return pack(table(spark, d, "documents"), "doc_id", "text", context_length(table(spark, d, "models"), entry))
 
 
-QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts}
 SQL: dict[str, str] = {}
