@@ -178,7 +178,7 @@ def _atom_shape(atom: str) -> str:
 
 
 _FAMILY = re.compile(r"^P*W$")
-_GIVEN = re.compile(r"^(?:I+|WI*|WP+|I+W)P*$")
+_GIVEN = re.compile(r"^(?:I+|WI*)P*$")
 
 
 @lru_cache(200_000)
