@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folialis.llm.bpe import token_ids
 from folialis.llm.components import components
+from folialis.llm.mojibake import find
 from folialis.llm.names import link_papers
 from folialis.llm.near_dup import NearDuplicates
 from folialis.llm.packing import context_length, pack
@@ -28,6 +29,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_papers(table(spark, d, "papers")).pairs().select(F.col("a").alias("paper_id_a"), F.col("b").alias("paper_id_b"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return find(table(spark, d, "papers"), "id", ["title", "fulltext"]).select(F.col("id").alias("paper_id"), "field_name")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The right text of each garbled field, as far as nothing was lost."""
+    return find(table(spark, d, "papers"), "id", ["title", "fulltext"]).withColumnRenamed("id", "paper_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     papers = table(spark, d, "papers")
     authors = split_values(papers, "id", ["authors"]).select(F.col("id").alias("paper_id"), F.lit("author").alias("kind"), F.col("item").alias("name"))
@@ -54,5 +64,5 @@ def p7_prompts(spark: SparkSession, d: str, entry: str = "tarn-2") -> DataFrame:
     return pack(table(spark, d, "documents"), "doc_id", "text", context_length(table(spark, d, "models"), entry))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts}
 SQL: dict[str, str] = {}
