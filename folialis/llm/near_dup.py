@@ -3,8 +3,9 @@
 Method. The fingerprint of a text has one symbol for each of BLOCKS * WIDTH minwise hashes of its word shingles; two
 texts of similarity s differ in a share 1 - s of the symbols. It is split into BLOCKS blocks. Two fingerprints that
 differ in fewer symbols than there are blocks share a block for certain, by the pigeonhole principle; at the lowest
-similarity asked for, 0.5, a block of four symbols is shared with probability 1 - (1 - 0.5**4)**64 = 0.984, at 0.6
-with 0.9999. The join on blocks gives candidates; the Hamming distance of a sketch of two bits of each symbol
+similarity asked for, 0.5, a block is shared with probability 1 - (1 - 0.5**5)**96 = 0.953, at 0.55 with 0.992, at 0.6 with
+0.9995. Shorter blocks would find those as well with fewer of them, but texts that share stock phrases (similarity 0.05) then meet
+so often by chance that the candidates grow as the square of the input. The join on blocks gives candidates; the Hamming distance of a sketch of two bits of each symbol
 drops those that are clearly apart; those not clearly close are then compared exactly by their sets of shingles.
 
 Scale. Texts of one word sequence form a class, and only the smallest id of a class is compared, so that copies cost
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from folialis.llm import words as W
 from folialis.sources.storage import written
 
-BLOCKS, WIDTH = 64, 4
-M = BLOCKS * WIDTH
+BLOCKS, WIDTH = 96, 5
+#: Symbols of the sketch.
+M = 256
 #: Standard deviations of the sketch's estimate within which a pair is compared exactly.
 SIGMAS = 4.5
 
@@ -47,17 +49,17 @@ def _fingerprints(k: int):
                 has = np.flatnonzero(np.diff(at))
                 if not len(has):
                     continue
-                sig = W.minwise(h, at, M)
+                sig = W.minwise(h, at, BLOCKS * WIDTH)
                 c1, c2 = (W.sequence_hash(words, first, s)[has].view(np.int64) for s in (1, 2))
                 # the symbols are minima, so their own high bits are mostly 0: bits are taken after mixing
-                two = (W.mix(sig.astype(np.uint64))[:, :, None] >> np.array([40, 41], np.uint64)) & np.uint64(1)
+                two = (W.mix(sig[:, :M].astype(np.uint64))[:, :, None] >> np.array([40, 41], np.uint64)) & np.uint64(1)
                 bits = np.packbits(two.reshape(len(has), 2 * M).astype(np.uint8), axis=1).view(np.int64)
-                # a block's key: its number and 52 bits of its symbols
+                # a block's key: its number and 57 bits of its symbols
                 sym = sig.reshape(len(has), BLOCKS, WIDTH).astype(np.uint64)
                 key = np.zeros((len(has), BLOCKS), np.uint64)
                 for j in range(WIDTH):
                     key = W.mix(key * np.uint64(31) + sym[:, :, j])
-                key = (key >> np.uint64(8)) << np.uint64(6) | np.arange(BLOCKS, dtype=np.uint64)
+                key = (key >> np.uint64(7)) << np.uint64(7) | np.arange(BLOCKS, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[lo:hi][has]), pa.array(c1), pa.array(c2), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(SKETCH)),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, len(has) * BLOCKS + 1, BLOCKS, dtype=np.int32)), pa.array(key.view(np.int64).ravel()))],

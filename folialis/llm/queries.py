@@ -12,6 +12,7 @@ from folialis.llm.names import link_papers
 from folialis.llm.near_dup import NearDuplicates
 from folialis.llm.packing import context_length, pack
 from folialis.llm.survivor import choose, credible, doi_edges, usable_doi, usable_venue
+from folialis.llm.truncation import rates, score
 from folialis.operators.multivalue import split_values
 from folialis.sources.storage import written
 from folialis.sources.tables import table
@@ -64,5 +65,14 @@ def p7_prompts(spark: SparkSession, d: str, entry: str = "tarn-2") -> DataFrame:
     return pack(table(spark, d, "documents"), "doc_id", "text", context_length(table(spark, d, "models"), entry))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return score(table(spark, d, "documents"), "doc_id", "text", "source").where("is_cut").select(F.col("id").alias("doc_id"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return rates(score(table(spark, d, "documents"), "doc_id", "text", "source"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
