@@ -35,6 +35,8 @@ ROUNDS = 2
 ALPHA = 200.0
 #: Occurrences from which a value with a separator inside is known.
 KNOWN = 3
+#: How much likelier than its count says a known value is where it may stand, so that in a small table it does not lose to two frequent shapes.
+KNOWN_PRIOR = 100.0
 
 # What separates, labels and ends lists of values.
 LABEL = re.compile(r"^\s*(?:key\s?words?|index terms|tags?|topics|subjects?|authors?|by|schlagw(?:ö|oe)rter|autoren|mots[- ]cl(?:é|e)s|auteurs|关键词|关键字|作者)\s*[:：]\s*", re.I)
@@ -234,9 +236,17 @@ def joined(kind: str, atoms: list[str], seps: list[str], closed: list[bool], mod
         left, right = atoms[i], atoms[i + 1]
         a, b = _shape(kind, left), _shape(kind, right)
         # a family name and what may be given names or their initials; or a value that is known as a whole
-        if not (_FAMILY.match(a) and _GIVEN.match(b)) if kind == "authors" and w == "," else not (model.sketch is None and w == "a" or model.known(kind, left + seps[i] + right, [left, right])):
+        if kind == "authors" and w == ",":
+            if not (_FAMILY.match(a) and _GIVEN.match(b)):
+                continue
+            prior = inside[w]
+        elif model.known(kind, left + seps[i] + right, [left, right]):
+            prior = KNOWN_PRIOR
+        elif model.sketch is None and w == "a":
+            prior = inside[w]
+        else:
             continue
-        out.append((i, i + 2, left + seps[i] + right, a + w + b, inside[w]))
+        out.append((i, i + 2, left + seps[i] + right, a + w + b, prior))
     return out
 
 

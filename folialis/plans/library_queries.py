@@ -432,7 +432,7 @@ def settings_upserted(spark: SparkSession, d: str) -> DataFrame:
     return mutate.upserted(s.where(F.lit(False)), s)
 
 
-@query("enriched", """WITH d AS (SELECT *, lower(regexp_replace(trim(doi, ' '), '(?i)^(https?://(dx\.)?doi\.org/|doi:\s*)', '')) AS k FROM papers), c AS (SELECT k, min((id, title, year, venue)) AS e FROM d WHERE title <> '' GROUP BY 1), j AS (SELECT p.id, p.title, c.e[1] AS eid, c.e[2] AS ft, c.e[3] AS fy, c.e[4] AS fv,
+@query("enriched", """WITH d AS (SELECT *, lower(regexp_replace(trim(doi, ' '), '(?i)^(https?://(dx\\.)?doi\\.org/|doi:\\s*)', '')) AS k FROM papers), c AS (SELECT k, min((id, title, year, venue)) AS e FROM d WHERE title <> '' GROUP BY 1), j AS (SELECT p.id, p.title, c.e[1] AS eid, c.e[2] AS ft, c.e[3] AS fy, c.e[4] AS fv,
 list_distinct(regexp_extract_all(lower(trim(p.title, ' ')), '[\\p{L}\\p{N}]+')) AS x, list_distinct(regexp_extract_all(lower(trim(c.e[2], ' ')), '[\\p{L}\\p{N}]+')) AS y FROM d p LEFT JOIN c ON c.k = p.k AND c.k <> ''),
 m AS (SELECT *, ft IS NOT NULL AND coalesce(length(trim(title, ' ')) BETWEEN 8 AND 300 AND length(regexp_replace(trim(title, ' '), '[^\\p{L}\\p{Nd}]', '', 'g')) >= length(trim(title, ' ')) * 0.45 AND len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) < 0.5, false) AS bad FROM j)
 SELECT id, CASE WHEN bad THEN NULL ELSE ft END AS found_title, CASE WHEN bad THEN NULL ELSE fy END AS found_year FROM m""")
