@@ -33,6 +33,8 @@ M = 256
 #: Standard deviations of the sketch's estimate within which a pair is compared exactly.
 SIGMAS = 4.5
 
+#: Ids (of 8 bytes) up to which those of texts to compare exactly are sent to all executors.
+FEW = 1_000_000
 #: 64-bit words of a sketch.
 SKETCH = M * 2 // 64
 _PRINT = "id long, c1 long, c2 long, " + "".join(f"s{j} long, " for j in range(SKETCH)) + "blocks array<long>"
@@ -118,7 +120,10 @@ class NearDuplicates:
         share = differ / F.lit(float(M))
         near = written(pairs.where(share <= p + slack).select("a", "b", (share <= max(p - slack, 0.0)).alias("sure")), "near")
         doubt = near.where("not sure").select("a", "b")
-        wanted = doubt.select(F.col("a").alias("id")).union(doubt.select(F.col("b").alias("id"))).distinct()
+        wanted = written(doubt.select(F.col("a").alias("id")).union(doubt.select(F.col("b").alias("id"))).distinct(), "wanted")
+        if wanted.count() <= FEW:
+            # else the texts are shuffled by id to meet theirs
+            wanted = F.broadcast(wanted)
         sets = rows.join(wanted, "id", "left_semi").mapInArrow(_shingle_sets(shingle), "id long, set array<int>").dropDuplicates(["id"])
         exact = (
             doubt.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
