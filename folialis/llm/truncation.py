@@ -36,6 +36,9 @@ FOOTER, SHORTEST, LONGEST = 0.25, 6, 60
 #: A spike: at least so many texts of one length, so large a share of the source, and so many times the density around.
 SPIKE_N, SPIKE_SHARE, SPIKE_RATIO, AROUND = 5, 0.008, 4.0, 50
 
+#: Footers (at most LONGEST characters each) up to which they are sent to all executors.
+MANY = 100_000
+
 # Marks of a cut, closing marks after a full stop, and lines that are whole without one.
 MARK = r"\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]|\((?:…|\.\.\.)\))\s*$"
 _MARK = re.compile(MARK)
@@ -257,9 +260,13 @@ def score(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
     tokens = got[got["cell"].notna()]
     counts = np.zeros(2 * CELLS, np.float32)
     counts[tokens["cell"].astype(int)] = tokens["n"]
-    marks = spark.createDataFrame(footers(got[got["cell"].isna()]), "f_source string, footer string")
+    found = footers(got[got["cell"].isna()])
+    marks = spark.createDataFrame(found, "f_source string, footer string")
     # the longest footer of the source in which the text ends
     longest = marks.groupBy("f_source").agg(F.collect_list("footer").alias("footers"))
+    if len(found) <= MANY:
+        # else the texts are shuffled by source to meet theirs
+        longest = F.broadcast(longest)
     ended = F.regexp_replace("text", r"\s+$", "")
     bodies = (
         rows.join(longest, F.col("source").eqNullSafe(F.col("f_source")), "left")
