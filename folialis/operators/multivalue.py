@@ -57,7 +57,7 @@ QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "{": "}", "”": "
 _ANY_QUOTE = re.compile("[" + "".join(QUOTES) + "]")
 PARTICLES = frozenset("van von de la le der den del della di da du dos das zu zur ter ten el al bin ibn".split())
 #: The prior that a weak separator stands inside a value, by kind of field.
-INSIDE = {"authors": {",": 0.5, "a": 0.001, "/": 0.0}, "keywords": {",": 0.1, "a": 0.3, "/": 0.1}}
+INSIDE = {"authors": {",": 0.5, "a": 0.0, "/": 0.0}, "keywords": {",": 0.1, "a": 0.3, "/": 0.1}}
 
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.[-\s]?)+$|^[A-ZÀ-ÖØ-Þ]{1,3}$")
 _HAN = re.compile(r"[㐀-鿿]")
