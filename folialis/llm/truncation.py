@@ -137,7 +137,12 @@ def footers(suffixes: pd.DataFrame) -> list[tuple[str | None, str]]:
             while longer := [x for x in n if len(x) == len(s) + 1 and x.endswith(s) and n[x] >= 0.9 * n[s]]:
                 s = longer[0]
             s = s.lstrip(_STOPS + _CLOSERS.replace("[", "").replace("(", "") + "…")
-            if len(s.strip()) >= SHORTEST - 1 and any(c.isalpha() for c in s):
+            # a footer begins at a line end, else at a blank or a bracket, not within a word of the text
+            m = re.search(r"\n", s) or re.search(r"[\s<\[(]", s)
+            s = s[m.start() :] if m else s
+            # a common end of sentences is no footer, unless it stands in a line of its own
+            own_line = "\n" in s or s.rstrip()[-1:] not in _STOPS
+            if own_line and len(s.strip()) >= SHORTEST - 1 and any(c.isalpha() for c in s):
                 out.append((None if source is None or source != source else source, s))
     return out
 
