@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folialis.sources.storage import spread
+
 #: Fixed value: how a byte-level BPE of this family cuts text into words before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT = 300_000
@@ -200,7 +202,7 @@ def token_ids(df: DataFrame, id: str, text: str, path: str | None = None) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id, "ids"])
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, ids array<int>")
+    return spread(df.select(F.col(id), F.col(text))).mapInArrow(run, f"`{id}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, id: str, text: str, path: str | None = None) -> DataFrame:
@@ -214,7 +216,7 @@ def token_counts(df: DataFrame, id: str, text: str, path: str | None = None) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=[id, "n_tokens"])
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, n_tokens int")
+    return spread(df.select(F.col(id), F.col(text))).mapInArrow(run, f"`{id}` {kind}, n_tokens int")
 
 
 def _slices(b: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folialis.llm import words as W
-from folialis.sources.storage import written
+from folialis.sources.storage import spread, written
 
 BLOCKS, WIDTH = 96, 5
 #: Symbols of the sketch.
@@ -98,7 +98,7 @@ class NearDuplicates:
         if not 0.5 <= threshold <= 1:
             raise ValueError("the blocks are cut for similarities from 0.5 up")
         rows = df.where(F.trim(F.col(body)) != "").select(F.col(id).cast("long").alias("id"), _text(title, body).alias("text"))
-        prints = written(rows.mapInArrow(_fingerprints(shingle), _PRINT), "prints")
+        prints = written(spread(rows).mapInArrow(_fingerprints(shingle), _PRINT), "prints")
         classes = prints.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
         copies = written(prints.join(classes.where("n > 1"), ["c1", "c2"]).where("id <> rep").select("id", "rep").distinct(), "copies")
         self.members = prints.select("id").distinct().join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))

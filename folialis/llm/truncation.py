@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folialis.sources.storage import written
+from folialis.sources.storage import spread, written
 
 CELLS = 1 << 18
 #: Share of a source's texts that must end alike for a footer, and its least and greatest length.
@@ -258,7 +258,7 @@ def _limits(bodies: DataFrame) -> DataFrame:
 def score(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
     """(id, source, odds, posterior, is_cut): the evidence for each text that is not blank."""
     spark = df.sparkSession
-    rows = df.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S"))
+    rows = spread(df.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S")))
     learned = rows.select("source", "text").mapInArrow(_learn, "source string, suffix string, cell long, n long").groupBy("source", "suffix", "cell").agg(F.sum("n").alias("n"))
     # at most 2 * CELLS cells, and for each source the suffixes that a tenth of its texts share
     got = learned.toPandas()
