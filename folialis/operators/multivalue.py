@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folialis.sources.storage import spread
+
 ROWS, WIDTH = 2, 1 << 19
 ROUNDS = 2
 #: Concentration: how many counts the shape of an unseen value is worth.
@@ -352,7 +354,7 @@ def learn(fields: DataFrame, kinds: list[str], rounds: int = ROUNDS) -> Model:
 
 def split_values(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
     """(id, field_name, pos, item) for each value of the columns, which are named as kinds of INSIDE."""
-    fields = df.select(F.col(id).cast("long").alias("id"), *columns)
+    fields = spread(df.select(F.col(id).cast("long").alias("id"), *columns))
     model = learn(fields, columns)
     shared = fields.sparkSession.sparkContext.broadcast((model.sketch, model.shapes))
 

@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that is far dearer than moving its rows.
+
+    A small file is one task however long its rows take; inputs with more parts than cores stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete the intermediate tables of this session; call it when their readers are done."""
     for s, path in [x for x in _made if x[0] is spark]:
