@@ -42,7 +42,7 @@ KNOWN_PRIOR = 100.0
 
 # What separates, labels and ends lists of values.
 LABEL = re.compile(r"^\s*(?:key\s?words?|index terms|tags?|topics|subjects?|authors?|by|schlagw(?:ö|oe)rter|autoren|mots[- ]cl(?:é|e)s|auteurs|关键词|关键字|作者)\s*[:：]\s*", re.I)
-ET_AL = re.compile(r"(?:^|[\s,;|&/·、，；]+)(?:(?:and|&)\s+)?(?:et\.?\s*al\b\.?|et coll\b\.?|u\.\s?a\.|and others\b\.?|等)\s*$", re.I)
+ET_AL = re.compile(r"(?:^|[\s,;|&/·、，；]+)(?:(?:and|&)\s+)?(?:et\.?\s*al\b\.?|et coll\b\.?|(?-i:u\.\s?a\.)|and others\b\.?|等)\s*$", re.I)
 TAIL = 20
 NUMBERING = (
     re.compile(r"(?:^|(?<=[\s,;|/]))\(?[a-z]\)\s+"), re.compile(r"(?:^|(?<=[\s,;|/]))\(\d{1,3}\)\s+"), re.compile(r"(?:^|(?<=[\s,;|/]))\d{1,3}\)\s+"),
@@ -182,6 +182,7 @@ def _atom_shape(atom: str) -> str:
 
 
 _FAMILY = re.compile(r"^P*W$")
+_ACRONYM = re.compile(r"^[A-Z]{3,6}$")
 _GIVEN = re.compile(r"^(?:I+|WI*)P*$")
 
 
@@ -239,7 +240,8 @@ def joined(kind: str, atoms: list[str], seps: list[str], closed: list[bool], mod
         a, b = _shape(kind, left), _shape(kind, right)
         # a family name and what may be given names or their initials; or a value that is known as a whole
         if kind == "authors" and w == ",":
-            if not (_FAMILY.match(a) and _GIVEN.match(b)):
+            # dotted initials are no name by themselves, whatever stands before them
+            if not (_FAMILY.match(a) and not _ACRONYM.match(left) and _GIVEN.match(b)) and not ("." in right and b.strip("I") == "" and "I" not in a and "H" not in a):
                 continue
             prior = inside[w]
         elif model.known(kind, left + seps[i] + right, [left, right]):

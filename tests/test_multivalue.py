@@ -13,7 +13,7 @@ def items(kind, s):
         ("Ann Lee; Bob Ray", ["Ann Lee", "Bob Ray"]), ("Lee, A.; Ray, Bob", ["Lee, A.", "Ray, Bob"]), ("Verkel, M., Selga, J.K., von Dasel, Z.", ["Verkel, M.", "Selga, J.K.", "von Dasel, Z."]),
         ('["Lee, Ann", "O\'Ray, B."]', ["Lee, Ann", "O'Ray, B."]), ("['Ann Lee', \"B. O'Ray\"]", ["Ann Lee", "B. O'Ray"]), ('"Lee, Ann", "Ray, Bob"', ["Lee, Ann", "Ray, Bob"]), ("Ann Lee\r\n\r\nBob Ray", ["Ann Lee", "Bob Ray"]),
         ("Ann Lee, Bob Ray and Cy Day", ["Ann Lee", "Bob Ray", "Cy Day"]), ("Lee, A., Ray, B., and Day, C.", ["Lee, A.", "Ray, B.", "Day, C."]), ("Ann Lee, Bob Ray et al.", ["Ann Lee", "Bob Ray"]), ("Lee A, Ray BC", ["Lee A", "Ray BC"]),
-        ("Ann Lee*, Bob Ray2", ["Ann Lee*", "Bob Ray2"]), ("Ann Lee,, Bob Ray,", ["Ann Lee", "Bob Ray"]), ("Bawen, Isabella", ["Bawen, Isabella"]), ("棠远怀, 翎 若舟", ["棠远怀", "翎 若舟"]), ("Ann Lee / Bob Ray", ["Ann Lee", "Bob Ray"]), ("", []), (" ; , ", []), ("et al.", []),
+        ("Ann Lee*, Bob Ray2", ["Ann Lee*", "Bob Ray2"]), ("Ann Lee,, Bob Ray,", ["Ann Lee", "Bob Ray"]), ("Bawen, Isabella", ["Bawen, Isabella"]), ("棠远怀, 翎 若舟", ["棠远怀", "翎 若舟"]), ("Ray, U. A.", ["Ray, U. A."]), ("Ann Lee u. a.", ["Ann Lee"]), ("Ray, B. ; vn Lee, D.", ["Ray, B.", "vn Lee, D."]), ("Ann Lee, BIC", ["Ann Lee", "BIC"]), ("EJOT, Lensto O", ["EJOT", "Lensto O"]), ("Ann Lee / Bob Ray", ["Ann Lee", "Bob Ray"]), ("", []), (" ; , ", []), ("et al.", []),
     ],
 )
 def test_authors(s, want):
