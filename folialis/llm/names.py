@@ -83,7 +83,7 @@ def _is_initials(t: str, shout: bool, following: str = "") -> bool:
     if not _INITIALS.match(t) or shout and len(t) == 3 and fold(t) in _OF_NICKNAME:
         return False
     # VAN ORTORLM is a family name, DA Ortorlm has two initials
-    return not (t.lower() in PARTICLES and len(following) > 3 and following.isupper())
+    return not (t.lower() in PARTICLES and (following.lower() in PARTICLES or len(following) > 3 and following.isupper()))
 
 
 def _expand(words: list[str]) -> list[str]:
@@ -106,9 +106,10 @@ def person_keys(name: str) -> list[Key]:
         return []
     keys: list[Key] = []
     grouped = _expand(words)
-    if len(grouped) >= 3 and grouped[-1] in GROUP_WORDS:
-        while len(grouped) > 3 and grouped[-1] == grouped[-2]:
-            grouped.pop()
+    while len(grouped) > 3 and grouped[-1] == grouped[-2]:
+        grouped.pop()
+    # the last word tells a group, one slip in it aside
+    if len(grouped) >= 3 and any(slips(grouped[-1], w, 1) <= 1 for w in GROUP_WORDS):
         content = [w for w in grouped if w not in LINKING]
         return [("group", " ".join(grouped), ""), ("letters", "".join(w[0] for w in content), " ".join(content))]
     if re.fullmatch(r"(?:[A-Z]\.?){3,8}", name):
@@ -136,7 +137,7 @@ def person_keys(name: str) -> list[Key]:
                 readings.append((t[: end - 1], t[end - 1 :]))
         elif len(t) > 1:
             k = 1
-            while k < len(t) - 1 and _is_initials(t[k], shout):
+            while k < len(t) - 1 and _is_initials(t[k], shout, t[k + 1]):
                 k += 1
             readings.append((t[k:], t[:k]))
             readings.append((t[:-1], t[-1:]))

@@ -16,7 +16,7 @@ VENUES = [(1, "Journal of Porous Optics"), (2, "International Conference on Noma
     ("kind", "name", "ref"),
     [
         ("author", "Rînorv, N.S.", 1), ("author", "N. S. Rinorv", 1), ("author", "RÎNORV Noémie", 1), ("author", "Noémie Rînrov", 1), ("author", "Rînorv NS", 1), ("author", "Noémie K. Rînorv", None), ("author", "Matt von Corjadsal", 2), ("author", "von Corjasdal M", 2),
-        ("author", "VON CORJASDAL Matthew", 2), ("author", "棠　知澄", 3), ("author", "PWWG", 4), ("author", "The Pelvekfell Wintering WG", 4), ("author", "Pelvekfell Wintering W. Group", 4), ("author", "Mike O'Rinlacalrg*", 5), ("author", "ORINLACALRG, Michael", 5),
+        ("author", "VON CORJASDAL Matthew", 2), ("author", "棠　知澄", 3), ("author", "PWWG", 4), ("author", "Pelvekfell Wintering Working Gruop", 4), ("author", "MATTHEW VON CORJASDAL", 2), ("author", "The Pelvekfell Wintering WG", 4), ("author", "Pelvekfell Wintering W. Group", 4), ("author", "Mike O'Rinlacalrg*", 5), ("author", "ORINLACALRG, Michael", 5),
         ("author", "Debbie Terlenck", 6), ("author", "DA Têrlenck", 6), ("author", "R. Yorkatorsk", None), ("author", "Rihcard Yorkatrosk", 7), ("author", "Casper Yorkatorsk", None), ("author", "Nadja Marbrupern", None), ("author", "?", None),
         ("venue", "J. of Porous Optics", 1), ("venue", "JPO 2020", 1), ("venue", "Porous Optics, Journal of", 1), ("venue", "Journal of Porous Optics, vol. 3", 1), ("venue", "Proceedings of the 9th International Conference on Nomadic Robotics", 2), ("venue", "Int'l Conf Nomadic Robot", 2),
         ("venue", "ICNR'19", 2), ("venue", "Nomadic Imaging Rev.", 3), ("venue", "NOMADIC IMAGING LETTERS", 4), ("venue", "Nomadic Imaging Lettesr", 4), ("venue", "Wksp. on Quartz Cartogr.", 5), ("venue", "Workshop n Quartz Cartography", 5), ("venue", "Journal of Porous Museology", None), ("venue", "none", None),
