@@ -287,7 +287,17 @@ def html_escaped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers").where("title is not null and link is not null").select("id", T.html_escape("title").alias("escaped"), T.safe_url("link").alias("url"))
 
 
-@query("bibtex")
+_MARKED = "replace(replace(replace(regexp_replace(translate({0}, '~^' || chr(92), chr(1) || chr(2) || chr(3)), '([&%$#_{{}}])', chr(92) || chr(92) || chr(92) || '1', 'g'), chr(1), '{{' || chr(92) || '~}}'), chr(2), '{{' || chr(92) || '^{{}}}}'), chr(3), chr(92) || 'textbackslash{{}}')"
+_WORDS = "list_filter(string_split_regex(trim({0}, ' '), '\\s+'), lambda x: x <> '')"
+_TURNED = f"CASE WHEN len({_WORDS}) <= 1 THEN trim({{0}}, ' ') ELSE {_WORDS}[-1] || ', ' || array_to_string({_WORDS}[1:-2], ' ') END"
+_NAMES = f"array_to_string(list_transform(list_filter(list_transform(string_split(a, ','), lambda n: trim(n, ' ')), lambda n: n <> ''), lambda n: {_TURNED.format('n')}), ' and ')"
+
+
+@query("bibtex", f"""WITH p AS (SELECT id, coalesce(title, '') AS t, coalesce(authors, '') AS a, coalesce(year, 0) AS y, coalesce(venue, '') AS v, coalesce(doi, '') AS d FROM papers WHERE deleted_at IS NULL),
+k AS (SELECT *, CASE WHEN trim(a, ' ') <> '' THEN regexp_replace(split_part({_TURNED.format("split_part(a, ',', 1)")}, ',', 1), '[^A-Za-z0-9]', '', 'g') ELSE '' END AS family, {_NAMES} AS names FROM p)
+SELECT id, '@' || (CASE WHEN v <> '' THEN 'article' ELSE 'misc' END) || '{{' || (CASE WHEN family <> '' THEN family ELSE 'paper' || id END) || (CASE WHEN y > 0 THEN CAST(y AS VARCHAR) ELSE '' END) || ',' || chr(10)
+|| '  title = {{' || {_MARKED.format('t')} || '}},' || chr(10) || (CASE WHEN trim(a, ' ') <> '' THEN '  author = {{' || {_MARKED.format('names')} || '}},' || chr(10) ELSE '' END)
+|| (CASE WHEN y > 0 THEN '  year = {{' || y || '}},' || chr(10) ELSE '' END) || (CASE WHEN v <> '' THEN '  journal = {{' || {_MARKED.format('v')} || '}},' || chr(10) ELSE '' END) || (CASE WHEN d <> '' THEN '  doi = {{' || {_MARKED.format('d')} || '}},' || chr(10) ELSE '' END) || '}}' || chr(10) AS entry FROM k""")
 def bibtex(spark: SparkSession, d: str) -> DataFrame:
     return exports.bibtex(library.live(table(spark, d, "papers")))
 
@@ -298,7 +308,8 @@ def note_sections(spark: SparkSession, d: str) -> DataFrame:
     return exports.note_sections(table(spark, d, "papers")).select("id", "section")
 
 
-@query("single_notes")
+@query("single_notes", """WITH p AS (SELECT *, concat_ws(' · ', nullif(authors, ''), CASE WHEN year > 0 THEN CAST(year AS VARCHAR) END, nullif(venue, '')) AS meta, trim(coalesce(notes, ''), ' ') AS n FROM papers)
+SELECT id, '# ' || coalesce(nullif(title, ''), '未命名论文') || chr(10) || chr(10) || (CASE WHEN meta <> '' THEN meta || chr(10) || chr(10) ELSE '' END) || '> 最后修改：' || coalesce(strftime(updated_at, '%Y-%m-%d %H:%M'), '未知') || chr(10) || chr(10) || (CASE WHEN n <> '' THEN n ELSE '（空）' END) AS markdown FROM p""")
 def single_notes(spark: SparkSession, d: str) -> DataFrame:
     return exports.single_note(table(spark, d, "papers"))
 
@@ -449,6 +460,27 @@ def filled(spark: SparkSession, d: str) -> DataFrame:
     return resolve.filled(p.select("id", "venue"), names, fields=("venue",))
 
 
+@query("abstract_rebuilt", "SELECT id, array_to_string(string_split_regex(trim(summary, ' '), ' +'), ' ') AS abstract FROM papers WHERE trim(summary, ' ') <> ''")
+def abstract_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries as inverted indexes, as catalogues give abstracts, and back."""
+    words = table(spark, d, "papers").where(F.trim("summary") != "").select("id", F.posexplode(F.split(F.trim("summary"), " +")).alias("pos", "word"))
+    index = words.groupBy("id", "word").agg(F.collect_list("pos").alias("places")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    return index.select("id", T.abstract_of_index("index").alias("abstract"))
+
+
+@query("times_parsed", "SELECT id, created_at AS iso, created_at AS plain, TIMESTAMP '2000-01-01' + INTERVAL 1 DAY > created_at AS old FROM papers")
+def times_parsed(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "papers")
+    at = lambda f: T.parse_time(F.date_format("created_at", f)).cast("timestamp_ntz")
+    return p.select("id", at("yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), at("yyyy-MM-dd HH:mm:ss").alias("plain"), (at("yyyy-MM-dd HH:mm:ss") < F.lit("2000-01-02").cast("timestamp_ntz")).alias("old"))
+
+
+@query("unique_names", "SELECT name, count(*) > 1 AS taken FROM tags GROUP BY name")
+def unique_names(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "tags")
+    return mutate.ensured(t, t.select(F.concat(F.lit(" "), "name").alias("name"))).groupBy("name").agg((F.count("*") > 1).alias("taken"))
+
+
 @query("answer_sources")
 def answer_sources(spark: SparkSession, d: str) -> DataFrame:
     return search.sources(table(spark, d, "papers"), "How does a graph kernel handle glaciers?", 3)
