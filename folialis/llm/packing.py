@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from folialis.llm.bpe import token_counts
 from folialis.sources.storage import written
 
-SALTS = 64
+#: Parts into which the items of each length are ranked: at least SALTS, and so many that PART rows of one length are one part on average.
+SALTS, PART = 64, 500_000
 #: Rows of the plan up to which it is sent to all executors (about 40 bytes each).
 SMALL_PLAN = 250_000
 
@@ -115,8 +116,9 @@ def pack(df: DataFrame, id: str, text: str, capacity: int, group: int = 8, path:
         .withColumn("first_token", F.col("k") * capacity)
         .select(F.col(id).alias("item"), "piece", "first_token", F.least(F.lit(capacity), F.col("n_tokens") - F.col("first_token")).alias("len"))
     )
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.lit(SALTS)))
-    parts = written(salted.groupBy("len", "salt").agg(F.count("*").alias("n")), "lengths", 1)
+    salts = max(SALTS, counted.count() // PART)
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.lit(salts)))
+    parts = written(salted.groupBy("len", "salt").agg(F.count("*").alias("n")), "lengths")
     before = Window.partitionBy("len").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("len", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     # at most capacity + 1 rows

@@ -11,7 +11,7 @@ from folialis.llm.mojibake import find
 from folialis.llm.names import link_papers
 from folialis.llm.near_dup import NearDuplicates
 from folialis.llm.packing import context_length, pack
-from folialis.llm.survivor import choose, credible, doi_edges, usable_doi, usable_venue
+from folialis.llm.survivor import FILLERS, choose, credible, doi_edges, usable_doi, usable_venue
 from folialis.llm.truncation import rates, score
 from folialis.operators.multivalue import split_values
 from folialis.sources.storage import written
@@ -75,4 +75,17 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts, "p8_found": p8_found, "p8_rates": p8_rates}
-SQL: dict[str, str] = {}
+# Brute force: every pair of texts that share a run of words. It is for the small tables on which the results are compared.
+_PAIRS = r"""w AS (SELECT id, regexp_extract_all(regexp_replace(lower(coalesce(title, '') || ' ' || fulltext), '([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS k FROM papers WHERE trim(fulltext, ' ') <> ''),
+s AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]))) AS g FROM w), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY ALL), pairs AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 3 * shared >= x.n + y.n)"""
+_DOI = r"""d0 AS (SELECT id, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(doi, '[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{AD}]', '', 'g'), '(?i)%2f', '/', 'g')), '\s*/\s*', '/', 'g'), '', '') AS t FROM papers),
+d1 AS (SELECT id, regexp_replace(regexp_extract(t, '(10\.[0-9][0-9.]*)/([^\s<>"''\[\]{}|?&#]+)'), '[.,;:!)\]>]+$', '') AS doi FROM d0),
+dois AS (SELECT id, doi FROM d1 WHERE doi <> '' AND regexp_extract(doi, '^[^/]+/(.*)$', 1) <> '' AND NOT regexp_matches(doi, '^[^/]+/[0x?*._-]*$|^10\.0*/|/to[._-]?be[._-]?(assigned|announced|determined)'))"""
+SQL: dict[str, str] = {
+    "p1_found": f"WITH {_PAIRS} SELECT a AS paper_id_a, b AS paper_id_b FROM pairs",
+    "p5_found": f"""WITH RECURSIVE {_PAIRS}, {_DOI}, e AS (SELECT a, b FROM pairs UNION SELECT x.id, y.id FROM dois x JOIN dois y ON x.doi = y.doi AND x.id < y.id), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS id, a AS m FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id WHERE r.m < u.b), g AS (SELECT id, min(m) AS group_id FROM r GROUP BY id),
+p AS (SELECT g.group_id, p.id, dois.doi, lower(regexp_replace(venue, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS v, CASE WHEN updated_at >= created_at AND updated_at <= TIMESTAMP '{COPIED}' THEN updated_at END AS t FROM g JOIN papers p ON p.id = g.id LEFT JOIN dois ON dois.id = p.id)
+SELECT group_id, arg_max(id, (t, -id)) FILTER (t IS NOT NULL AND doi IS NOT NULL) AS doi_from, arg_max(id, (t, -id)) FILTER (t IS NOT NULL AND v <> '' AND v NOT IN ({", ".join(f"'{x}'" for x in FILLERS)})) AS venue_from FROM p GROUP BY group_id""",
+}
