@@ -15,6 +15,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -24,8 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="folialis-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # one folder for each application on this machine
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="folialis-")
+        folder = _own[app]
     return folder.rstrip("/")
 
 
@@ -60,7 +64,7 @@ def forget(spark: SparkSession) -> None:
 def _sweep() -> None:
     import shutil
 
-    for _, path in _made:
+    for path in [*(p for _, p in _made), *_own.values()]:
         u = urlparse(path)
         if u.scheme in ("", "file") and os.path.isdir(u.path):
             shutil.rmtree(u.path, ignore_errors=True)
