@@ -20,6 +20,7 @@ from folialis.functions import text as T
 ENCRYPT_WITHIN, MOST_TEXT, MOST_STREAM = 2048, 5 << 20, 64 << 20
 #: Kerning (thousandths of the font's size) from which a move is a blank.
 KERN_BLANK = -150.0
+#: Words after which a title line goes on.
 FUNCTION_WORDS = frozenset("for of and with in on to by a an the via using from as at into onto over under".split())
 
 _STREAM = re.compile(rb"stream\r?\n")
