@@ -178,8 +178,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("unused_tags", f"SELECT id, name FROM tags t WHERE NOT EXISTS (SELECT 1 FROM paper_tags p WHERE p.tag_id = t.id AND p.paper_id <= 50) ORDER BY {_FOLD.format('name')}, id LIMIT 12")
 def unused_tags(spark: SparkSession, d: str) -> DataFrame:
-    # the links of the first papers stand for those of a small library, in which some tags have no use
-    return library.unused(table(spark, d, "tags"), table(spark, d, "paper_tags").where("paper_id <= 50"), "tag_id", 12).select("id", "name")
+    return library.unused(table(spark, d, "tags"), table(spark, d, "paper_tags"), "tag_id", 12).select("id", "name")
 
 
 @query("trash", "SELECT p.id, deleted_at, coalesce(c.name, '') AS category_name FROM papers p LEFT JOIN categories c ON c.id = p.category_id WHERE deleted_at IS NOT NULL")

@@ -200,3 +200,11 @@ def test_exports(lib, tmp_path):
     assert e[1].startswith("@misc{One2001,\n  title = {Image fusion},\n  author = {One, A.},\n  year = {2001},\n}")
     exports.write_text(exports.as_json(lib.papers.select("id")), "json", f"file://{tmp_path}/j")
     assert len(list((tmp_path / "j").glob("part-*"))) > 0
+
+
+def test_unused_tags_reads_all_links(spark, tmp_path):
+    from folialis.plans.library_queries import unused_tags
+
+    spark.createDataFrame([(1, "early"), (2, "late"), (3, "never")], "id long, name string").write.parquet(f"{tmp_path}/tags.parquet")
+    spark.createDataFrame([(1, 1), (51, 2)], "paper_id long, tag_id long").write.parquet(f"{tmp_path}/paper_tags.parquet")
+    assert [tuple(r) for r in unused_tags(spark, str(tmp_path)).collect()] == [(3, "never")]
