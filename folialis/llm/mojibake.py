@@ -3,11 +3,11 @@
 Method. A character model (smoothed trigrams over bigrams over single characters, in lower case) is trained on all clean records: those in
 which no chain of encodings applies anywhere. In every other record each span to which a chain (bytes of encoding Y read as X) applies is
 scored as it stands and as the chain restores it, with its neighbours; the likeliest reading wins if it is better than
-the stored one by a margin. The margin is set on a sample of clean records, as they are and garbled by us, as the smallest that keeps the false alarms
-on untouched ones under a stated rate. Chains are applied again to their own result, so text garbled twice is
+the stored one by a margin. The margin is set on all clean records, as they are, in capitals and garbled by us, as the smallest that keeps the false alarms
+on untouched ones under a stated rate in every chain. Chains are applied again to their own result, so text garbled twice is
 restored in two steps. A replacement character and a C1 control character left over are losses of their own.
 
-Scale. The model's counts are kept in tables of a fixed number of hashed cells, whatever the input: only these are shuffled and broadcast (a few MB). Training and scoring are
+Scale. The model's counts are kept in tables of a fixed number of hashed cells, whatever the input: only these are shuffled and broadcast (a few MB). Training, the choice of the margin (a histogram of fixed size for each chain) and scoring are
 one pass each over the texts, and a record without a suspicious character costs one search.
 
 Edge cases. Null and empty texts are no case. Characters that are rare but right stay, as the model has met them in clean records or the chain's reading is no likelier.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,12 +33,13 @@ from folialis.sources.storage import spread
 CELLS = 1 << 20
 #: Share of spans of clean records that may be taken for garbled when the margin is chosen, and the least margin (in nats).
 FALSE_ALARMS, LEAST_MARGIN = 0.0005, 1.0
-#: Records sampled (at most) to choose the margin: a bounded sample, as for fitting a threshold on labelled rows.
-VALIDATION = 600
+#: Bins of the histogram of gains of a chain, and their width (in nats): from -64 to 64, gains beyond in the outer ones.
+BINS, WIDE = 512, 0.25
 CONTEXT = 2
 
 #: Encodings of one byte as which UTF-8 is misread.
 SINGLE = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp1254", "iso8859-15")
+CHAINS = (*(f"utf-8 as {e}" for e in SINGLE), "gbk as latin-1", "utf-8 as gbk")
 
 
 @lru_cache(None)
@@ -83,6 +85,8 @@ _HIGH = re.compile("[¡-÷][¡-þ]")
 _SUSPECT = re.compile(f"{_PAIR.pattern}|{_HIGH.pattern}|[\x80-\x9f]|�|&[A-Za-z]{{2,8}};|[㐀-鿿]")
 _LOSS = re.compile("[\x80-\x9f�]")
 _ENTITY = re.compile(r"&[A-Za-z]{2,8};")
+_RUN = re.compile(r"(?:[^\x00-\x7f]\??)+[\x00-\x7f]?")
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
 
 
 def _from_utf8(span: str, encoding: str) -> str | None:
@@ -93,6 +97,15 @@ def _from_utf8(span: str, encoding: str) -> str | None:
 
 def readings(s: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, restored, chain) of every span to which a chain applies."""
+    # no span goes beyond a run of characters outside ASCII, with '?' as a lost byte and the ASCII character behind the run
+    for m in _RUN.finditer(s):
+        run, at = m.group(), m.start()
+        if run[0] >= "㐀" or len(run) > 1 and not run[1].isascii() or "?" in run:
+            for a, z, r, c in _readings(run):
+                yield at + a, at + z, r, c
+
+
+def _readings(s: str) -> Iterator[tuple[int, int, str, str]]:
     if _PAIR.search(s):
         met = set()
         for e in SINGLE:
@@ -133,11 +146,13 @@ def readings(s: str) -> Iterator[tuple[int, int, str, str]]:
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def _codes(cp: np.ndarray) -> list[np.ndarray]:
-    """The cells of the single characters, pairs and triples that end at each place."""
+def _codes(cp: np.ndarray, place: np.ndarray | None = None) -> list[np.ndarray]:
+    """The cells of the single characters, pairs and triples that end at each place; place: that within its text, where cp holds several."""
     c = cp.astype(np.uint64) + np.uint64(3)
     p1 = np.concatenate((np.full(1, 1, np.uint64), c[:-1]))
     p2 = np.concatenate((np.full(2, 1, np.uint64), c[:-2])) if len(c) > 1 else np.full(len(c), 1, np.uint64)
+    if place is not None:
+        p1, p2 = np.where(place > 0, p1, np.uint64(1)), np.where(place > 1, p2, np.uint64(1))
     out, h = [], np.zeros(len(c), np.uint64)
     for part, k in zip((c, p1, p2), _MIX, strict=True):
         h = (h ^ (part * k)) * np.uint64(0xFF51AFD7ED558CCD)
@@ -188,6 +203,20 @@ class Model:
             total += math.log(p)
         return total
 
+    def scores(self, texts: list[str], skips: np.ndarray) -> np.ndarray:
+        """score of many texts at once."""
+        low = [s.lower() for s in texts]
+        size = np.array([len(s) for s in low], np.int64)
+        cp, first = _points("".join(low)), np.concatenate(([0], size.cumsum()[:-1])).astype(np.int64)
+        place = np.arange(len(cp)) - np.repeat(first, size)
+        one, two, three = _codes(cp, place)
+        n1, n2, n3 = (r[c].astype(np.float64) for r, c in zip(self.counts, (one, two, three), strict=True))
+        p = (n1 + 0.01) / (self.total + 20_000)
+        p = (n2 + 2.0 * p) / (np.maximum(np.where(place > 0, np.roll(n1, 1), 0.0), n2) + 2.0)
+        p = (n3 + 2.0 * p) / (np.maximum(np.where(place > 1, np.roll(n2, 1), 0.0), n3) + 2.0)
+        logs = np.where(place >= np.repeat(skips, size), np.log(p), 0.0)
+        return np.bincount(np.repeat(np.arange(len(low)), size), logs, len(low))
+
     def gain(self, s: str, start: int, end: int, restored: str) -> float:
         """By how much a reading of a span is likelier than what is stored, with its neighbours."""
         a, z = s[max(0, start - CONTEXT) : start], s[end : end + CONTEXT]
@@ -231,6 +260,11 @@ class Model:
         return text, hit or lost, not lost
 
 
+def suspect(s: str) -> bool:
+    """Whether anything in a text may be garbled; plain ASCII is seen at once."""
+    return not (s.isascii() and "&" not in s) and _SUSPECT.search(s) is not None
+
+
 def suspicious(s: str) -> bool:
     """Whether a record is not clean for training: a chain applies somewhere, or something was lost.
 
@@ -259,7 +293,7 @@ def train(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, float]:
             for c in range(len(columns)):
                 clean, size = [], 0
                 for s in b.column(c).to_pylist():
-                    if s and not (_SUSPECT.search(s) and suspicious(s)):
+                    if s and not (suspect(s) and suspicious(s)):
                         clean.append(s)
                         size += len(s)
                         if size > 500_000:
@@ -277,24 +311,94 @@ def train(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, float]:
     return counts, validated_margin(df, columns, Model(counts))
 
 
+def garble(s: str, chain: str) -> str | None:
+    """s as a chain stores it; None where the chain cannot hold it."""
+    written, read = chain.split(" as ")
+    try:
+        raw = s.encode(written)
+        return raw.decode(read) if read == "gbk" else raw.decode("latin-1").translate(byte_table(read))
+    except UnicodeError:
+        return None
+
+
+#: (case, number of the chain, neighbours before, stored, restored, neighbours after)
+Span = tuple[int, int, str, str, str, str]
+
+
+def labelled(s: str) -> Iterator[Span]:
+    """The labelled spans of a clean record.
+
+    Untouched (0): where a chain applies by chance to the record or to the record in capitals. The UTF-8 chains apply to no clean record as it stands, but accented capitals
+    before quotes and signs look like them, and the model knows no case. Cases (1): every run beyond ASCII as one chain garbles it, the chain chosen by the text itself.
+    """
+    for x in {s, s.upper()}:
+        if _PAIR.search(x) or _HIGH.search(x):
+            yield from ((0, CHAINS.index(c), x[max(0, a - CONTEXT) : a], x[a:z], r, x[z : z + CONTEXT]) for a, z, r, c in readings(x))
+    k = zlib.crc32(s.encode("utf-8", "surrogatepass")) % len(CHAINS)
+    for m in _BEYOND.finditer(s):
+        run, (a, z) = m.group(), m.span()
+        if _PLAUSIBLE.fullmatch(run) and (wrong := garble(run, CHAINS[k])):
+            yield 1, k, s[max(0, a - CONTEXT) : a], wrong, run, s[z : z + CONTEXT]
+
+
+def gains(spans: list[Span], model: Model) -> np.ndarray:
+    """Model.gain of many spans."""
+    skips = np.array([len(x[2]) for x in spans], np.int64)
+    stored, restored = (model.scores([x[2] + x[k] + x[5] for x in spans], skips) for k in (3, 4))
+    return restored - stored
+
+
 def validated_margin(df: DataFrame, columns: list[str], model: Model) -> float:
-    """The smallest margin that keeps false alarms on clean records of a bounded sample under the stated rate.
+    """The margin from the gains of the labelled spans of all clean records, counted by chain in bins."""
+    shared = df.sparkSession.sparkContext.broadcast(model.counts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums = Model(shared.value), np.zeros(2 * len(CHAINS) * BINS, np.int64)
+
+        def add(spans: list[Span]) -> None:
+            at = np.array([(case * len(CHAINS) + k) * BINS for case, k, *_ in spans], np.int64)
+            np.add.at(sums, at + bins(gains(spans, own)), 1)
+
+        for b in batches:
+            for c in range(len(columns)):
+                spans, size = [], 0
+                for s in b.column(c).to_pylist():
+                    if s and not s.isascii() and not (suspect(s) and suspicious(s)):
+                        spans += labelled(s)
+                        size += len(s)
+                        if spans and size > 100_000:
+                            add(spans)
+                            spans, size = [], 0
+                if spans:
+                    add(spans)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["bin", "n"])
+
+    # at most 2 * chains * BINS rows, whatever the input
+    got = df.select(*columns).mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(2 * len(CHAINS) * BINS, np.int64)
+    table[got.column("bin").to_numpy()] = got.column("n").to_numpy()
+    return margin_of(table.reshape(2, len(CHAINS), BINS))
+
+
+def bins(gain: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(gain / WIDE).astype(np.int64) + BINS // 2, 0, BINS - 1)
+
+
+def margin_of(table: np.ndarray) -> float:
+    """The smallest margin that keeps the share of false alarms of every chain under the stated rate, from the counts of gains by (case, chain, bin).
 
-    The labelled spans: in clean records, where a chain applies by chance (no case), and the same records garbled by the chains (cases).
     The margin stays under the gains of 99.9 % of the cases.
     """
-    rows = df.select(*columns).limit(VALIDATION).toPandas()
-    untouched, garbled = [], []
-    for n, s in enumerate(x for c in columns for x in rows[c] if isinstance(x, str) and x):
-        if not _SUSPECT.search(s) or suspicious(s):
-            continue
-        untouched += [model.gain(s, a, z, r) for a, z, r, _ in readings(s)]
-        wrong = s.encode().decode("cp1252", "replace") if n % 2 else "".join(byte_table(SINGLE[n // 2 % len(SINGLE)])[b] for b in s.encode())
-        garbled += [model.gain(wrong, a, z, r) for a, z, r, _ in readings(wrong)]
-    untouched.sort(reverse=True)
-    garbled.sort()
-    alarm = untouched[int(FALSE_ALARMS * len(untouched))] if untouched else 0.0
-    return max(LEAST_MARGIN, min(alarm, garbled[len(garbled) // 1000]) if garbled else alarm)
+    edges = (np.arange(BINS + 1) - BINS // 2) * WIDE
+    alarm = -math.inf
+    for n in table[0]:
+        # spans at or above the lower edge of each bin
+        above = np.append(n[::-1].cumsum()[::-1], 0)
+        alarm = max(alarm, edges[int(np.argmax(above <= FALSE_ALARMS * n.sum()))])
+    cases = table[1].sum(0)
+    least = edges[int(np.argmax(cases.cumsum() > cases.sum() // 1000))] if cases.any() else math.inf
+    return max(LEAST_MARGIN, float(min(alarm, least)))
 
 
 def find(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
@@ -310,7 +414,7 @@ def find(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
             ids = b.column(0).to_pylist()
             for c, name in enumerate(columns, 1):
                 for i, s in zip(ids, b.column(c).to_pylist(), strict=True):
-                    if s and _SUSPECT.search(s):
+                    if s and suspect(s):
                         text, hit, whole = model.restore(s, margin)
                         if hit:
                             for col, x in zip(out, (i, name, text, whole), strict=True):

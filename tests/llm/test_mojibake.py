@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from folialis.llm.mojibake import SINGLE, byte_table, find
@@ -56,3 +57,37 @@ def test_other_ways(found):
 
 def test_empty(spark):
     assert find(spark.createDataFrame([], "id long, title string, fulltext string"), "id", ["title", "fulltext"]).count() == 0
+
+
+def test_margin_counts_all_records(spark):
+    from folialis.llm import mojibake as J
+
+    # a model that knows the Chinese reading of two accented letters better than the letters, which only late records hold
+    text = f"x {'éà'.encode('latin-1').decode('gbk')} y " * 1000
+    model = J.Model(np.concatenate([np.bincount(c, minlength=J.CELLS) for c in J._codes(J._points(text))]).astype(np.float32))
+    rows = [(i, "x plain y" if i < 2000 else "x éà y") for i in range(2050)]
+    df = spark.createDataFrame(rows, "id long, title string").coalesce(1)
+    assert J.validated_margin(df.where("id < 2000"), ["title"], model) == J.LEAST_MARGIN
+    assert J.validated_margin(df, ["title"], model) > J.LEAST_MARGIN
+
+
+def test_labelled_spans():
+    from folialis.llm import mojibake as J
+
+    got = list(J.labelled("краткий обзор методов» и обзор"))
+    assert any(case == 0 and J.CHAINS[k] == "utf-8 as cp1251" for case, k, *_ in got) and any(case for case, *_ in got)
+    model = J.Model(np.ones(3 * J.CELLS, np.float32))
+    spans = [x for s in CLEAN + RARE for x in J.labelled(s)]
+    alone = [model.gain(a + s + z, len(a), len(a + s), r) for _, _, a, s, r, z in spans]
+    assert np.allclose(J.gains(spans, model), alone)
+
+
+def test_margin_of_each_chain():
+    from folialis.llm import mojibake as J
+
+    table = np.zeros((2, len(J.CHAINS), J.BINS), np.int64)
+    table[0, 0, 0], table[0, 1, J.BINS // 2 + 20] = 1_000_000, 10
+    # the few spans of one chain are not lost among the many of another
+    assert J.margin_of(table) == 21 * J.WIDE
+    table[1, 2, J.BINS // 2 + 8] = 50
+    assert J.margin_of(table) == 8 * J.WIDE
