@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 REFS_PER_PAPER, MOST_EXTERNAL = 15, 150
 
 
-def edges(refs: DataFrame, own: DataFrame | None = None, per_paper: int = REFS_PER_PAPER, most: int = MOST_EXTERNAL) -> DataFrame:
+def edges(refs: DataFrame, own: DataFrame | None = None, per_paper: int = REFS_PER_PAPER, most: int | None = MOST_EXTERNAL) -> DataFrame:
     """(source, target) of distinct references (paper_id, pos, ref): of each paper the first ``per_paper`` by position, in all the first
-    ``most`` works, first come by paper and position. own (paper_id, ref): a paper's own number, which it does not cite.
+    ``most`` works (None: all), first come by paper and position. own (paper_id, ref): a paper's own number, which it does not cite.
 
     Works come first by the least (paper, place) at which they are cited: a partial aggregate and a top-k, no global sort.
     """
     taken = refs.withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("pos", "ref"))).where(F.col("n") <= per_paper)
     if own is not None:
         taken = taken.join(own, ["paper_id", "ref"], "left_anti")
-    first = taken.groupBy("ref").agg(F.min(F.struct("paper_id", "n")).alias("at")).orderBy("at", "ref").limit(most).select("ref")
-    kept = taken.join(F.broadcast(first), "ref", "left_semi") if most <= 10_000 else taken.join(first, "ref", "left_semi")
+    kept = taken
+    if most is not None:
+        first = taken.groupBy("ref").agg(F.min(F.struct("paper_id", "n")).alias("at")).orderBy("at", "ref").limit(most).select("ref")
+        kept = taken.join(F.broadcast(first) if most <= 10_000 else first, "ref", "left_semi")
     return kept.select(F.concat(F.lit("lib-"), "paper_id").alias("source"), F.concat(F.lit("ext-"), "ref").alias("target")).distinct()
 
 

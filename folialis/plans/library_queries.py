@@ -341,7 +341,7 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("refs_per_paper", f"SELECT paper_id, ref FROM (SELECT paper_id, ref, row_number() OVER (PARTITION BY paper_id ORDER BY pos, ref) AS n FROM {_REFS}) WHERE n <= 15")
 def refs_per_paper(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.edges(_refs(spark, d), most=1_000_000)
+    e = graph.edges(_refs(spark, d), most=None)
     return e.select(F.substring("source", 5, 30).cast("long").alias("paper_id"), F.substring("target", 5, 30).cast("long").alias("ref"))
 
 

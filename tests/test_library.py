@@ -208,3 +208,10 @@ def test_unused_tags_reads_all_links(spark, tmp_path):
     spark.createDataFrame([(1, "early"), (2, "late"), (3, "never")], "id long, name string").write.parquet(f"{tmp_path}/tags.parquet")
     spark.createDataFrame([(1, 1), (51, 2)], "paper_id long, tag_id long").write.parquet(f"{tmp_path}/paper_tags.parquet")
     assert [tuple(r) for r in unused_tags(spark, str(tmp_path)).collect()] == [(3, "never")]
+
+
+def test_refs_of_more_works_than_a_million(spark, tmp_path):
+    from folialis.plans.library_queries import refs_per_paper
+
+    spark.range(1_000_050).selectExpr("id as paper_id", "id as tag_id").write.parquet(f"{tmp_path}/paper_tags.parquet")
+    assert refs_per_paper(spark, str(tmp_path)).count() == 1_000_050
