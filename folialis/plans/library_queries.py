@@ -379,7 +379,7 @@ def model_list_(spark: SparkSession, d: str) -> DataFrame:
 
 @query("markdown_html")
 def markdown_html(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("kind = 'note' and text is not null").select("doc_id", markdown.to_html(F.col("text")).alias("html"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", markdown.to_html(F.col("text")).alias("html"))
 
 
 @query("soft_deleted", "SELECT id, CASE WHEN category_id = 3 AND deleted_at IS NULL THEN TIMESTAMP '2025-06-30 00:00:00' ELSE deleted_at END AS deleted_at FROM papers")

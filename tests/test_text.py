@@ -110,3 +110,12 @@ def test_markdown():
     assert "<td>1</td><td>2</td>" in html and "<blockquote>q</blockquote>" in html and '<pre><code class="lang-py">&lt;x&gt;</code></pre>' in html and "<hr>" in html
     assert "javascript" not in html and 'href="https://x"' in html and "<br>q</p>" in html
     assert markdown.render(None) == ""
+
+
+def test_markdown_html_of_all_kinds(spark, tmp_path):
+    from folialis.plans.library_queries import markdown_html
+
+    rows = [(1, "note", "# a"), (2, "summary", "# b"), (3, None, "c"), (4, "excerpt", None)]
+    spark.createDataFrame(rows, "doc_id long, kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.html for r in markdown_html(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3] and got[2] == got[1].replace("a", "b")
