@@ -9,7 +9,8 @@ sentence (as after "i.e." or the first half of a decimal). Both are combined in
 of terms, links, signatures) are evidence for wholeness that only a text at a limit overrules.
 
 Scale. Counts of tokens are kept in a table of fixed size, lengths and suffixes are aggregated before they are shuffled, and the
-limits are a few rows for each source, joined by source and length. Texts are read three times and never moved.
+limits are a few rows for each source, joined by source and length. Texts are never moved; they are read once for tokens, once for suffixes, once more
+for each time the length of the longest footer doubles, and twice for the limits and the result.
 
 Edge cases. Null, empty and blank texts are no case. A null source is a source of its own. A text of footer only is no
 case. Small tables have no spikes, and endings alone decide.
@@ -25,18 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folialis.sources.storage import spread, written
 
 CELLS = 1 << 18
-#: Share of a source's texts that must end alike for a footer, and its least and greatest length.
-FOOTER, SHORTEST, LONGEST = 0.25, 6, 60
+#: Share of a source's texts that must end alike for a footer, its least length, and the characters by which it is grown in the first pass (twice as long ones in later ones).
+FOOTER, SHORTEST, STEP = 0.25, 6, 64
 #: A spike: at least so many texts of one length, so large a share of the source, and so many times the density around.
 SPIKE_N, SPIKE_SHARE, SPIKE_RATIO, AROUND = 5, 0.008, 4.0, 50
 
-#: Footers (at most LONGEST characters each) up to which they are sent to all executors.
+#: Footers up to which they are sent to all executors.
 MANY = 100_000
 
 # Marks of a cut, closing marks after a full stop, and lines that are whole without one.
@@ -92,32 +93,19 @@ def _norm(token: str) -> str:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of endings by cell, and of suffixes by source."""
+    """Counts of endings by cell."""
     counts = np.zeros((2, CELLS), np.int64)
-    tails: dict[str | None, list[str]] = defaultdict(list)
     cells: Counter = Counter()
     for b in batches:
-        for source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if not text or not text.strip():
-                continue
-            tails[source].append(text.rstrip()[-LONGEST:])
-            cells.update(endings(text))
+        for text in b.column(0).to_pylist():
+            if text and text.strip():
+                cells.update(endings(text))
         if len(cells) > 200_000:
             _spend(cells, counts)
     _spend(cells, counts)
-    rows: list[tuple] = [(None, None, int(c) + k * CELLS, int(counts[k, c])) for k in (0, 1) for c in np.flatnonzero(counts[k])]
-    for source, ends in tails.items():
-        rows.append((source, "", None, len(ends)))
-        alive = Counter(e[-SHORTEST:] for e in ends)
-        keep = {s for s, n in alive.items() if n >= max(2, 0.1 * len(ends))}
-        for k in range(SHORTEST, LONGEST + 1):
-            ends = [e for e in ends if e[-k:][-(k - 1) or None :] in keep or e[-k:] in keep] if k > SHORTEST else [e for e in ends if e[-k:] in keep]
-            alive = Counter(e[-k:] for e in ends if len(e) >= k)
-            keep = {s for s, n in alive.items() if n >= max(2, 0.1 * len(tails[source]))}
-            rows += [(source, s, None, alive[s]) for s in keep]
-            if not keep:
-                break
-    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["source", "suffix", "cell", "n"])
+    flat = counts.ravel()
+    at = np.flatnonzero(flat)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["cell", "n"])
 
 
 def _spend(cells: Counter, counts: np.ndarray) -> None:
@@ -127,23 +115,63 @@ def _spend(cells: Counter, counts: np.ndarray) -> None:
     cells.clear()
 
 
-def footers(suffixes: pd.DataFrame) -> list[tuple[str | None, str]]:
-    """(source, footer) from the counts of suffixes: grown while nine tenths of its texts agree, without leading full stops."""
+def _ended() -> Column:
+    return F.regexp_replace("text", r"\s+$", "")
+
+
+def common_ends(rows: DataFrame) -> list[tuple[str | None, str]]:
+    """(source, suffix): the ends that a share of a source's texts have in common, grown while nine tenths of these agree.
+
+    Suffixes are counted over all tasks before any is dropped for its share.
+    """
+    ends = rows.select("source", _ended().alias("ended"))
+    totals = ends.groupBy("source").agg(F.count("*").alias("total")).withColumnRenamed("source", "t_source")
+    short = ends.where(F.length("ended") >= SHORTEST).groupBy("source", F.right("ended", F.lit(SHORTEST)).alias("s")).agg(F.count("*").alias("n")).where("n >= 5")
+    seeds = short.join(totals, F.col("source").eqNullSafe(F.col("t_source"))).where(F.col("n") >= FOOTER * F.col("total")).select("source", "s", "n", "total")
+    growing, out = [tuple(r) for r in seeds.collect()], []
+    while growing:
+        step = max(STEP, max(len(s) for _, s, *_ in growing))
+        known = rows.sparkSession.createDataFrame(growing, "f_source string, s string, n long, total long").drop("n")
+        if len(growing) <= MANY:
+            known = F.broadcast(known)
+        tails = (
+            ends.join(known, F.col("source").eqNullSafe(F.col("f_source"))).where(F.col("ended").endswith(F.col("s")) & (F.length("ended") > F.length("s")))
+            .groupBy("source", "s", "total", F.right("ended", F.length("s") + step).alias("tail")).agg(F.count("*").alias("n"))
+        )
+        longer = F.transform(F.sequence(F.length("s") + 1, F.length("tail")), lambda k: F.right(F.col("tail"), k))
+        counted = tails.select("source", "s", "total", F.explode(longer).alias("x"), "n").groupBy("source", "s", "total", "x").agg(F.sum("n").alias("n"))
+        # at most ten of each length
+        got: dict = defaultdict(dict)
+        for r in counted.where((F.col("n") >= 2) & (F.col("n") >= 0.1 * F.col("total"))).select("source", "s", "x", "n").collect():
+            got[r.source, r.s][r.x] = r.n
+        more = []
+        for source, s, n, total in growing:
+            by_rest: dict[str, list] = defaultdict(list)
+            for x, m in got[source, s].items():
+                by_rest[x[1:]].append((m, x))
+            x = s
+            while (best := max(by_rest[x], default=(0, ""))) and best[0] >= 0.9 * n:
+                n, x = best
+            if len(x) == len(s) + step:
+                more.append((source, x, n, total))
+            else:
+                out.append((source, x))
+        growing = more
+    return out
+
+
+def footers(ends: list[tuple[str | None, str]]) -> list[tuple[str | None, str]]:
+    """(source, footer) from the common ends, without leading full stops."""
     out = []
-    for source, g in suffixes.groupby("source", dropna=False):
-        n = dict(zip(g["suffix"], g["n"], strict=True))
-        total = n.pop("", 0)
-        for s in [s for s in n if len(s) == SHORTEST and n[s] >= max(5, FOOTER * total)]:
-            while longer := [x for x in n if len(x) == len(s) + 1 and x.endswith(s) and n[x] >= 0.9 * n[s]]:
-                s = longer[0]
-            s = s.lstrip(_STOPS + _CLOSERS.replace("[", "").replace("(", "") + "…")
-            # a footer begins at a line end, else at a blank or a bracket, not within a word of the text
-            m = re.search(r"\n", s) or re.search(r"[\s<\[(]", s)
-            s = s[m.start() :] if m else s
-            # a common end of sentences is no footer, unless it stands in a line of its own
-            own_line = "\n" in s or s.rstrip()[-1:] not in _STOPS
-            if own_line and len(s.strip()) >= SHORTEST - 1 and any(c.isalpha() for c in s):
-                out.append((None if source is None or source != source else source, s))
+    for source, s in ends:
+        s = s.lstrip(_STOPS + _CLOSERS.replace("[", "").replace("(", "") + "…")
+        # a footer begins at a line end, else at a blank or a bracket, not within a word of the text
+        m = re.search(r"\n", s) or re.search(r"[\s<\[(]", s)
+        s = s[m.start() :] if m else s
+        # a common end of sentences is no footer, unless it stands in a line of its own
+        own_line = "\n" in s or s.rstrip()[-1:] not in _STOPS
+        if own_line and len(s.strip()) >= SHORTEST - 1 and any(c.isalpha() for c in s):
+            out.append((source, s))
     return out
 
 
@@ -259,23 +287,21 @@ def score(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
     """(id, source, odds, posterior, is_cut): the evidence for each text that is not blank."""
     spark = df.sparkSession
     rows = spread(df.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S")))
-    learned = rows.select("source", "text").mapInArrow(_learn, "source string, suffix string, cell long, n long").groupBy("source", "suffix", "cell").agg(F.sum("n").alias("n"))
-    # at most 2 * CELLS cells, and for each source the suffixes that a tenth of its texts share
+    learned = rows.select("text").mapInArrow(_learn, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    # at most 2 * CELLS cells
     got = learned.toPandas()
-    tokens = got[got["cell"].notna()]
     counts = np.zeros(2 * CELLS, np.float32)
-    counts[tokens["cell"].astype(int)] = tokens["n"]
-    found = footers(got[got["cell"].isna()])
+    counts[got["cell"]] = got["n"]
+    found = footers(common_ends(rows))
     marks = spark.createDataFrame(found, "f_source string, footer string")
     # the longest footer of the source in which the text ends
     longest = marks.groupBy("f_source").agg(F.collect_list("footer").alias("footers"))
     if len(found) <= MANY:
         # else the texts are shuffled by source to meet theirs
         longest = F.broadcast(longest)
-    ended = F.regexp_replace("text", r"\s+$", "")
     bodies = (
         rows.join(longest, F.col("source").eqNullSafe(F.col("f_source")), "left")
-        .withColumn("ended", ended)
+        .withColumn("ended", _ended())
         .withColumn("off", F.coalesce(F.array_max(F.transform("footers", lambda f: F.when(F.col("ended").endswith(f), F.length(f)).otherwise(0))), F.lit(0)))
         .withColumn("body", F.when(F.col("off") > 0, F.expr("substring(ended, 1, length(ended) - off)")).otherwise(F.col("text")))
     )

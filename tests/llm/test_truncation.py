@@ -63,3 +63,14 @@ def test_censored_fit_finds_the_distribution():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert T.score(df, "doc_id", "text", "source").count() == 0 and T.rates(T.score(df, "doc_id", "text", "source")).count() == 0
+
+
+def test_footers_of_rare_sources_and_long_ones(spark):
+    long = "\n\n--\nThis text was sent by the mailer of the library and may hold errors for which nobody answers in any way at all"
+    r = random.Random(8)
+    # one text of the rare source in each task
+    rows = [(k * 100 + i, " ".join(sentence(r) for _ in range(3)) + (("\n\nSent by mailer" if i == 0 else long) if i < 20 else ""), "rare" if i == 0 else "long" if i < 20 else "free") for k in range(8) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(8, "doc_id")
+    got = T.score(df, "doc_id", "text", "source")
+    assert [x.source for x in T.rates(got).collect() if x.n_cut] == []
+    assert sorted(T.footers(T.common_ends(df.select("source", "text")))) == [("long", long), ("rare", "\n\nSent by mailer")]
