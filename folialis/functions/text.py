@@ -103,6 +103,11 @@ def excerpts(text: Column | str, query: str, count: int = 3, size: int = 500) ->
     return F.transform(F.filter(hits, lambda h: h.isNotNull()), lambda h: F.trim(F.substring(t, start(h) + 1, F.least(start(h) + size, F.length(t)) - start(h))))
 
 
+def truncated(x: Column | str, most: int) -> Column:
+    """The first characters of a text."""
+    return F.substring(_c(x), 1, most)
+
+
 def normalize_title(x: Column | str) -> Column:
     """A key for equal titles: letters a-z, digits, Chinese characters and single blanks. Tabs and line ends are dropped."""
     kept = F.regexp_replace(F.lower(_c(x)), r"[^a-z0-9\x{4e00}-\x{9fff} ]", "")
@@ -176,6 +181,11 @@ def clean_title(x: Column | str) -> Column:
     return F.trim(F.translate(F.regexp_replace(base, r"\.[^.]*$", ""), "_-.", "   "))
 
 
+def bare_doi(x: Column | str) -> Column:
+    """A DOI as it is compared: trimmed, in lower case, without an address or a label before it."""
+    return F.lower(F.regexp_replace(F.trim(_c(x)), r"(?i)^(https?://(dx\.)?doi\.org/|doi:\s*)", ""))
+
+
 def sniff_doi(x: Column | str, scanned: int = 16384) -> Column:
     """The first DOI after doi.org/ or doi:, else the first bare one, without marks at its end; '' if there is none."""
     head = F.substring(_c(x), 1, scanned)
@@ -184,6 +194,17 @@ def sniff_doi(x: Column | str, scanned: int = 16384) -> Column:
     return F.regexp_replace(F.when(stated != "", stated).otherwise(bare), r"""[.,;:)\]}"']+$""", "")
 
 
+#: What a title line of a file may not begin with, and the form of a DOI in it.
+FILE_LINE_JUNK, LINE_DOI = ("http", "arxiv", "doi:", "©"), r"(?i)\b10\.\d{4,9}/[^\s\"'<>()\[\]{}]+"
+
+
+def sniff_file_title(x: Column | str, scanned: int = 8192) -> Column:
+    """The first line near the start of a file's text that may be its title: 8 to 200 characters, begun by no digit or junk, no DOI in it; '' if there is none."""
+    lines = F.transform(F.split(F.substring(_c(x), 1, scanned), "\n"), lambda s: F.trim(s))
+    good = F.filter(lines, lambda s: F.length(s).between(8, 200) & ~s.rlike("^[0-9]") & ~_begins(F.lower(s), FILE_LINE_JUNK) & ~s.rlike(LINE_DOI) & plausible_line(s))
+    return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(""))
+
+
 def sniff_title(x: Column | str) -> Column:
     """The first line that may be a title, '' if there is none."""
     lines = F.transform(F.split(_c(x), "\n"), lambda s: F.trim(s))

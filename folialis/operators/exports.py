@@ -43,6 +43,14 @@ def notes_header(papers: DataFrame, now: str) -> DataFrame:
     return noted(papers).agg(F.concat(F.lit(f"# 论文笔记\n\n> 导出时间：{now} · 共 "), F.count("*").cast("string"), F.lit(" 篇\n\n")).alias("header"))
 
 
+def notes_file(papers: DataFrame, now: str) -> DataFrame:
+    """(part, text): the whole export in its order, head first, then the sections, the latest change first. A distributed sort: write_text keeps the order over its parts."""
+    head = notes_header(papers, now).select(F.lit(0).alias("rank"), F.lit(None).cast(papers.schema["updated_at"].dataType).alias("updated_at"), F.lit(None).cast("long").alias("id"), F.col("header").alias("text"))
+    body = note_sections(papers).select(F.lit(1).alias("rank"), "updated_at", "id", F.col("section").alias("text"))
+    ordered = head.union(body).orderBy("rank", F.col("updated_at").desc(), F.col("id").desc())
+    return ordered.select(F.when(F.col("rank") == 0, "head").otherwise("section").alias("part"), "id", "text")
+
+
 def single_note(papers: DataFrame) -> DataFrame:
     """(id, markdown): a paper's notes as a file of its own."""
     s = lambda c: F.nullif(F.col(c), F.lit(""))

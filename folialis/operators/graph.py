@@ -25,8 +25,19 @@ def edges(refs: DataFrame, own: DataFrame | None = None, per_paper: int = REFS_P
     return kept.select(F.concat(F.lit("lib-"), "paper_id").alias("source"), F.concat(F.lit("ext-"), "ref").alias("target")).distinct()
 
 
+def cached(cache: DataFrame, found: DataFrame, now: str) -> DataFrame:
+    """The cache (doi, refs, fetched_at) after a fetch: what was found (doi, refs) now replaces a DOI's entry, other entries stay, also old ones. Blank DOIs are not kept."""
+    new = found.where(F.trim("doi") != "").groupBy("doi").agg(F.min("refs").alias("refs")).withColumn("fetched_at", F.lit(now).cast(cache.schema["fetched_at"].dataType))
+    return cache.join(new, "doi", "left_anti").select("doi", "refs", "fetched_at").unionByName(new)
+
+
+def cited(papers: DataFrame, cache: DataFrame) -> DataFrame:
+    """(paper_id, pos, ref) of the papers (id, doi) whose references are known: edges() and, by their ids, nodes() take them."""
+    return papers.join(cache.where("doi <> ''").select("doi", "refs"), "doi").select(F.col("id").alias("paper_id"), F.posexplode("refs").alias("pos", "ref"))
+
+
 def nodes(papers: DataFrame, links: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """(id, title, year, venue, doi, in_library): papers (with references known) and the targets of the links; titles: (ref, title)."""
+    """(id, title, year, venue, doi, in_library): papers (those whose references are known, as the caller gives them) and the targets of the links; titles: (ref, title)."""
     lib = papers.select(F.concat(F.lit("lib-"), "id").alias("id"), "title", "year", "venue", "doi", F.lit(True).alias("in_library"))
     ext = links.select(F.col("target").alias("id")).distinct()
     named = ext.withColumn("title", F.lit("")) if titles is None else ext.join(titles.select(F.concat(F.lit("ext-"), "ref").alias("id"), "title"), "id", "left").withColumn("title", F.coalesce("title", F.lit("")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folialis.functions import text as T
@@ -33,9 +33,10 @@ class PaperQuery:
     strict_search: bool = False
     category_id: int | None = None
     tag_ids: Sequence[int] = ()
-    tag_names: Sequence[str] = ()
+    #: names, or a table of them (name)
+    tag_names: Sequence[str] | DataFrame = ()
     collection_ids: Sequence[int] = ()
-    collection_names: Sequence[str] = ()
+    collection_names: Sequence[str] | DataFrame = ()
     exclude_collection_ids: Sequence[int] = ()
     year_from: int | None = None
     year_to: int | None = None
@@ -106,15 +107,16 @@ def live(papers: DataFrame) -> DataFrame:
 
 
 def with_state(papers: DataFrame) -> DataFrame:
-    """read derived from status, and whether there is a file."""
-    return papers.withColumns({"read": F.coalesce(F.col("read"), F.lit(False)) | F.coalesce(F.col("status") == "read", F.lit(False)), "has_pdf": F.coalesce(F.col("pdf_path") != "", F.lit(False))})
+    """read as status says, whatever the flag, and whether there is a file."""
+    return papers.withColumns({"read": F.coalesce(F.col("status") == "read", F.lit(False)), "has_pdf": F.coalesce(F.col("pdf_path") != "", F.lit(False))})
 
 
-def _having(papers: DataFrame, links: DataFrame | None, key: str, dims: DataFrame | None, ids: Sequence[int], names: Sequence[str]) -> DataFrame:
+def _having(papers: DataFrame, links: DataFrame | None, key: str, dims: DataFrame | None, ids: Sequence[int], names: Sequence[str] | DataFrame) -> DataFrame:
     if ids:
         papers = papers.join(links.where(F.col(key).isin(list(ids))), papers["id"] == links["paper_id"], "left_semi")
-    if names:
-        wanted = dims.where(F.col("name").isin(list(names))).select(F.col("id").alias(key))
+    if isinstance(names, DataFrame) or names:
+        named = dims.join(names, "name", "left_semi") if isinstance(names, DataFrame) else dims.where(F.col("name").isin(list(names)))
+        wanted = named.select(F.col("id").alias(key))
         papers = papers.join(links.join(wanted, key, "left_semi"), papers["id"] == links["paper_id"], "left_semi")
     return papers
 
@@ -150,12 +152,18 @@ def ordering(sort: str, order: str) -> list[Column]:
 
 
 def page(lib: Library, q: PaperQuery) -> DataFrame:
-    """One page of the list in its order: list columns, has_pdf, category_name, and snippet if there is a search."""
-    rows = filtered(lib, q).select(*LIST_COLUMNS).orderBy(*ordering(q.sort, q.order)).offset(q.offset).limit(q.limit)
+    """One page of the list in its order: list columns, has_pdf, category_name, and snippet if there is a search.
+
+    A search reads the full text anyway: it goes through the top-k with its row, so the snippets of a page are computed after the limit.
+    """
+    searched = bool(q.search.strip())
+    order = ordering(q.sort, q.order)
+    rows = filtered(lib, q).select(*LIST_COLUMNS, *(["fulltext"] if searched else [])).orderBy(*order).offset(q.offset).limit(q.limit)
     out = with_category(with_state(rows), lib.categories)
-    if q.search.strip():
-        out = out.join(lib.papers.select("id", T.snippet(F.coalesce("fulltext", F.lit("")), q.search).alias("snippet")), "id", "left")
-    return out
+    if searched:
+        out = out.withColumn("snippet", T.snippet(F.coalesce("fulltext", F.lit("")), q.search)).drop("fulltext")
+    # a shuffled join loses the order of the page
+    return out.orderBy(*order).limit(q.limit)
 
 
 def total(lib: Library, q: PaperQuery) -> DataFrame:
@@ -205,6 +213,11 @@ def paper(lib: Library, id: int) -> DataFrame:
     return hydrated(with_category(with_state(live(lib.papers).where(F.col("id") == id).select(*LIST_COLUMNS)), lib.categories), lib)
 
 
+def by_ids(papers: DataFrame, ids: DataFrame) -> DataFrame:
+    """The live papers of a batch of ids (id); ids that come twice or are not there are no matter."""
+    return live(papers).join(ids.select("id"), "id", "left_semi")
+
+
 def trash(lib: Library) -> DataFrame:
     """What is in the trash, latest first."""
     rows = lib.papers.where(F.col("deleted_at").isNotNull()).select(*LIST_COLUMNS)
@@ -216,6 +229,22 @@ def noted(papers: DataFrame) -> DataFrame:
     return live(papers).where(F.trim("notes") != "").select("id", "title", "authors", "notes", "updated_at").orderBy(F.col("updated_at").desc(), F.col("id").desc())
 
 
+def annotations_of(annotations: DataFrame) -> DataFrame:
+    """The annotations with the place of each in the list of its paper, by page and id, then as they came.
+
+    Places are counted within each page of a paper and offset by the pages before, so a paper with very many annotations is no single task.
+    """
+    page = F.coalesce("page", F.lit(-1))
+    a = annotations.withColumn("_page", page)
+    sizes = a.groupBy("paper_id", "_page").agg(F.count("*").alias("_n"))
+    # a row for each page of a paper
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("paper_id").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("paper_id").alias("_paper"), F.col("_page").alias("_p"), before.alias("_before"))
+    at = F.row_number().over(Window.partitionBy("paper_id", "_page").orderBy("id", "created_at", F.col("quote").asc_nulls_last(), F.col("note").asc_nulls_last()))
+    placed = a.withColumn("_at", at).join(offsets, F.col("paper_id").eqNullSafe(F.col("_paper")) & (F.col("_page") == F.col("_p")))
+    return placed.withColumn("place", F.col("_at") + F.col("_before")).select(*annotations.columns, "place")
+
+
 def backfilled(papers: DataFrame) -> DataFrame:
     """An older store's rows: status from read, and the time of notes from that of the row where it is missing."""
     return papers.withColumns(

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 #: Columns that a patch may set, states and their cycle.
 PATCHABLE = ("title", "authors", "year", "venue", "doi", "keywords", "link", "summary", "notes", "category_id", "status", "starred", "pdf_path", "pdf_size", "fulltext")
-BIBLIOGRAPHIC = ("title", "authors", "year", "venue", "doi", "keywords", "link", "fulltext")
+BIBLIOGRAPHIC = ("title", "authors", "year", "venue", "doi", "keywords", "link", "summary", "category_id", "fulltext")
+INPUT = ("title", "authors", "year", "venue", "doi", "keywords", "link", "summary", "notes", "category_id", "read", "starred")
 STATES = ("unread", "reading", "read")
 
 
@@ -25,6 +26,11 @@ def _hit(df: DataFrame, what: str) -> None:
         raise Conflict(what)
 
 
+def _once(rows: DataFrame) -> None:
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("an id comes twice")
+
+
 def state(x: Column) -> Column:
     """A state, unread for anything else."""
     return F.when(x.isin(*STATES), x).otherwise(STATES[0])
@@ -36,8 +42,8 @@ def next_state(x: Column) -> Column:
     return F.coalesce(F.try_element_at(cycle, x), F.lit(STATES[0]))
 
 
-def inserted(papers: DataFrame, new: DataFrame, now: str) -> DataFrame:
-    """papers and new rows (without id): ids follow the greatest, texts are trimmed but for notes, missing ones are ''."""
+def inserted(papers: DataFrame, new: DataFrame, now: str, keep_ids: bool = False) -> DataFrame:
+    """papers and new rows (without id, or with theirs): ids follow the greatest, texts are trimmed but for notes, missing ones are ''."""
     last = papers.agg(F.coalesce(F.max("id"), F.lit(0))).head()[0]
     at = F.lit(now).cast(papers.schema["created_at"].dataType)
     have = set(new.columns)
@@ -56,7 +62,7 @@ def inserted(papers: DataFrame, new: DataFrame, now: str) -> DataFrame:
 
     # ids need only be new and distinct: partitions count for themselves, so nothing is gathered in one task
     rows = new.withColumn("_n", F.monotonically_increasing_id())
-    cols = [(F.col("_n") + last + 1).alias("id") if n == "id" else value(n, t).alias(n) for n, t in papers.dtypes]
+    cols = [(F.col("id") if keep_ids else F.col("_n") + last + 1).alias("id") if n == "id" else value(n, t).alias(n) for n, t in papers.dtypes]
     out = rows.select(*cols)
     if "read" in papers.columns:
         out = out.withColumn("read", F.col("status") == "read")
@@ -72,6 +78,7 @@ def patched(papers: DataFrame, patch: DataFrame, now: str, expected_notes: bool
     sets = [c for c in patch.columns if c not in ("id", "expected_notes")]
     if unknown := [c for c in sets if c not in PATCHABLE]:
         raise ValueError(f"unknown columns: {', '.join(unknown)}")
+    _once(patch)
     missing = patch.join(papers, "id", "left_anti")
     if not missing.isEmpty():
         raise Conflict("no such row")
@@ -93,6 +100,95 @@ def patched(papers: DataFrame, patch: DataFrame, now: str, expected_notes: bool
     return j.select(*(out[c].alias(c) if c in out else F.col(c) for c in papers.columns))
 
 
+def updated(papers: DataFrame, new: DataFrame, now: str) -> DataFrame:
+    """papers with whole rows of new (id, seen_notes_at, columns) written: texts are trimmed but for notes, missing columns and nulls are '' or 0, status falls to unread.
+
+    Guard: the notes must be those that the writer saw, by their time (seen_notes_at) or by their text; else nothing is written and Conflict is raised,
+    as for an id that is not there. An id that comes twice is an error. The time of notes moves only if they change; created_at and deleted_at stay.
+    """
+    _once(new)
+    have = set(new.columns)
+    own = papers.select("id", F.col("notes").alias("_notes"), F.col("notes_updated_at").alias("_notes_at"))
+    seen = new.join(own, "id")
+    if not new.join(papers, "id", "left_anti").isEmpty():
+        raise Conflict("no such row")
+    same_text = (F.coalesce(F.col("notes"), F.lit("")) if "notes" in have else F.lit("")) == F.coalesce("_notes", F.lit(""))
+    same_time = F.col("seen_notes_at").cast(papers.schema["notes_updated_at"].dataType).eqNullSafe(F.col("_notes_at")) if "seen_notes_at" in have else F.lit(False)
+    if not seen.where(~(same_text | same_time)).isEmpty():
+        raise Conflict("the notes were changed meanwhile")
+    kinds = dict(papers.dtypes)
+    at = F.lit(now).cast(papers.schema["updated_at"].dataType)
+
+    def value(c: str) -> Column:
+        kind = kinds[c]
+        if c not in have:
+            return F.lit("" if kind == "string" else 0 if c in ("year", "pdf_size") else False if kind == "boolean" else None).cast(kind)
+        text = F.coalesce(F.col(c), F.lit(""))
+        return text if c == "notes" else F.trim(text) if kind == "string" else F.coalesce(F.col(c).cast(kind), F.lit(0 if c in ("year", "pdf_size") else False if kind == "boolean" else None).cast(kind))
+
+    rows = new.select("id", *((state(F.col("status")) if "status" in have else F.lit(STATES[0])).alias("_status") if c == "status" else value(c).alias(f"_{c}") for c in PATCHABLE), F.lit(True).alias("_hit"))
+    out = {c: F.col(f"_{c}") for c in PATCHABLE}
+    out |= {"updated_at": at, "read": F.col("_status") == "read", "notes_updated_at": F.when(F.col("_notes").eqNullSafe(F.coalesce("notes", F.lit(""))), F.col("notes_updated_at")).otherwise(at)}
+    j = papers.join(rows, "id", "left")
+    return j.select(*(F.when(F.col("_hit"), out[c]).otherwise(F.col(c)).alias(c) if c in out else F.col(c) for c in papers.columns))
+
+
+def metadata_updated(papers: DataFrame, found: DataFrame, now: str) -> DataFrame:
+    """papers with what was read from files or catalogues (id and any of BIBLIOGRAPHIC). Notes, status and stars are never touched, so a slow reader cannot undo them."""
+    if unknown := [c for c in found.columns if c != "id" and c not in BIBLIOGRAPHIC]:
+        raise ValueError(f"not bibliographic: {', '.join(unknown)}")
+    return patched(papers, found, now)
+
+
+def input_of(papers: DataFrame) -> DataFrame:
+    """(id, the columns of a request, tags, collections): what a client would send to write the (hydrated) papers as they are; relations as lists of ids."""
+    ids = [F.transform(c, lambda x: x["id"]).alias(c) for c in ("tags", "collections") if c in papers.columns]
+    return papers.select("id", *INPUT, *ids)
+
+
+def paper_of(requests: DataFrame) -> DataFrame:
+    """(key, columns of a paper) from requests (key, body), a JSON object each: texts are trimmed but for notes, what is missing or of another type is '' , 0, false or null.
+
+    Names in the body are in camel case as clients send them. status counts only where it is given, else it follows read. A body that is no object gives blank columns.
+    """
+    kinds = {"year": "int", "categoryId": "bigint", "read": "boolean", "starred": "boolean"}
+    body = F.try_parse_json("body")
+    get = lambda k: F.try_variant_get(body, f"$.{k}", kinds.get(k, "string"))
+    texts = ("title", "authors", "venue", "doi", "keywords", "link", "summary")
+    read = F.coalesce(get("read"), F.lit(False))
+    status = F.coalesce(get("status"), F.lit(""))
+    return requests.select(
+        "key", *(F.trim(F.coalesce(get(c), F.lit(""))).alias(c) for c in texts), F.coalesce(get("year"), F.lit(0)).alias("year"), F.coalesce(get("notes"), F.lit("")).alias("notes"), get("categoryId").alias("category_id"),
+        F.when(status != "", state(status)).otherwise(F.when(read, "read").otherwise(STATES[0])).alias("status"), F.coalesce(get("starred"), F.lit(False)).alias("starred"),
+    )
+
+
+def saved(tables: Mapping[str, DataFrame], rows: DataFrame, tags: DataFrame, collections: DataFrame, now: str, create: bool = False) -> dict[str, DataFrame]:
+    """The tables papers, paper_tags and paper_collections after rows are written with exactly these relations (id, tag_id) and (id, collection_id), as one unit.
+
+    tables also holds tags and collections: a relation to what is not there is an error, and then, as after a conflict, nothing is changed. What comes back is to be published
+    together (Snapshots.publish), which makes it atomic. create: rows are new and bring ids beyond the greatest, so that rows and relations agree.
+    """
+    out: dict[str, DataFrame] = {}
+    if create:
+        _once(rows)
+        last = tables["papers"].agg(F.coalesce(F.max("id"), F.lit(0))).head()[0]
+        if not rows.where(F.col("id") <= last).isEmpty():
+            raise Conflict("an id that is taken")
+        out["papers"] = inserted(tables["papers"], rows, now, keep_ids=True)
+    else:
+        out["papers"] = updated(tables["papers"], rows, now)
+    for name, dims, key, new in (("paper_tags", "tags", "tag_id", tags), ("paper_collections", "collections", "collection_id", collections)):
+        if not new.join(tables[dims], new[key] == tables[dims]["id"], "left_anti").isEmpty():
+            raise ValueError(f"unknown {key}")
+        if not new.join(rows, "id", "left_anti").isEmpty():
+            raise ValueError("relations of a paper that is not written")
+        written = rows.select(F.col("id").alias("paper_id"))
+        kept = tables[name].join(written, "paper_id", "left_anti").select("paper_id", key)
+        out[name] = kept.unionByName(new.select(F.col("id").alias("paper_id"), key).distinct())
+    return out
+
+
 def patch_of(request: Mapping[str, object]) -> dict[str, object]:
     """The columns that a request sets: only keys that are there; status goes before read, an empty category name clears the category."""
     out = {k: v for k, v in request.items() if k in PATCHABLE and v is not None}
@@ -107,7 +203,7 @@ def soft_deleted(papers: DataFrame, ids: DataFrame, now: str) -> DataFrame:
     """The papers of ids (id) in the trash. An id that is not live is a conflict."""
     if not ids.join(papers.where(F.col("deleted_at").isNull()), "id", "left_anti").isEmpty():
         raise Conflict("not a live paper")
-    j = papers.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
+    j = papers.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     at = F.lit(now).cast(papers.schema["deleted_at"].dataType)
     return j.select(*(F.when(F.col("_hit"), at).otherwise(F.col(c)).alias(c) if c == "deleted_at" else F.col(c) for c in papers.columns))
 
@@ -116,7 +212,7 @@ def restored(papers: DataFrame, ids: DataFrame) -> DataFrame:
     """The papers of ids out of the trash. An id that is not in it is a conflict."""
     if not ids.join(papers.where(F.col("deleted_at").isNotNull()), "id", "left_anti").isEmpty():
         raise Conflict("not in the trash")
-    j = papers.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
+    j = papers.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     return j.select(*(F.when(~F.coalesce(F.col("_hit"), F.lit(False)), F.col(c)).alias(c) if c == "deleted_at" else F.col(c) for c in papers.columns))
 
 
@@ -149,6 +245,13 @@ def related_removed(links: DataFrame, gone: DataFrame) -> DataFrame:
     return links.join(gone.select(*links.columns), links.columns, "left_anti")
 
 
+def ensured_with_counts(dims: DataFrame, names: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(id, name, paper_count) of the names after those that are new were added: 0 for these, else the papers that have them."""
+    asked = names.select(F.trim("name").alias("name")).where("name <> ''").distinct()
+    n = links.dropDuplicates(["paper_id", key]).groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"))
+    return ensured(dims, names).join(asked, "name", "left_semi").join(n, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("paper_count"))
+
+
 def ensured(dims: DataFrame, names: DataFrame) -> DataFrame:
     """dims (id, name) and the names (name) that are new, trimmed and not blank."""
     new = names.select(F.trim("name").alias("name")).where("name <> ''").distinct().join(dims, "name", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folialis.functions import text as T
@@ -10,12 +10,12 @@ from folialis.operators.library import live
 
 
 def duplicates(papers: DataFrame) -> DataFrame:
-    """(id, duplicate_of, by): for each live paper the smallest other live paper with the same DOI (case aside), else the same title and
+    """(id, duplicate_of, by): for each live paper the smallest other live paper with the same DOI (case and address aside), else the same title and
     first author. Blank DOIs, titles and authors match nothing.
 
     The smallest and second smallest id of a key are a partial aggregate, so no pair within a key is formed.
     """
-    p = live(papers).select("id", F.lower(F.trim("doi")).alias("doi"), T.normalize_title("title").alias("title"), T.first_author("authors").alias("author"))
+    p = live(papers).select("id", T.bare_doi("doi").alias("doi"), T.normalize_title("title").alias("title"), T.first_author("authors").alias("author"))
     found = None
     for rank, by, keys in ((1, "doi", ["doi"]), (2, "title", ["title", "author"])):
         rows = p
@@ -30,16 +30,16 @@ def duplicates(papers: DataFrame) -> DataFrame:
 
 def duplicate_of(papers: DataFrame, incoming: DataFrame) -> DataFrame:
     """incoming (key, doi, title, authors) with the live paper that each would duplicate: (key, paper_id, by)."""
-    known = live(papers).select(F.col("id").alias("paper_id"), F.lower(F.trim("doi")).alias("d"), T.normalize_title("title").alias("t"), T.first_author("authors").alias("a"))
-    new = incoming.select("key", F.lower(F.trim("doi")).alias("d"), T.normalize_title("title").alias("t"), T.first_author("authors").alias("a"))
+    known = live(papers).select(F.col("id").alias("paper_id"), T.bare_doi("doi").alias("d"), T.normalize_title("title").alias("t"), T.first_author("authors").alias("a"))
+    new = incoming.select("key", T.bare_doi("doi").alias("d"), T.normalize_title("title").alias("t"), T.first_author("authors").alias("a"))
     by_doi = new.where("d <> ''").join(known.where("d <> ''").groupBy("d").agg(F.min("paper_id").alias("paper_id")), "d").select("key", "paper_id", F.lit("doi").alias("by"), F.lit(1).alias("rank"))
     full = "t <> '' and a <> ''"
     by_title = new.where(full).join(known.where(full).groupBy("t", "a").agg(F.min("paper_id").alias("paper_id")), ["t", "a"]).select("key", "paper_id", F.lit("title").alias("by"), F.lit(2).alias("rank"))
     return by_doi.union(by_title).groupBy("key").agg(F.min(F.struct("rank", "paper_id", "by")).alias("x")).select("key", "x.paper_id", "x.by")
 
 
-def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(id_a, id_b, overlap): pairs of titles (id, title) with a Jaccard similarity of tokens from the threshold, id_a <> id_b.
+def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 0.7, apart: bool = True) -> DataFrame:
+    """(id_a, id_b, overlap): pairs of titles (id, title) with a Jaccard similarity of tokens from the threshold; apart: id_a <> id_b.
 
     A prefix join: tokens are ordered by how rare they are; two sets that reach the threshold share one of the
     first n - ceil(threshold * n) + 1 of each. Only those tokens are joined, the frequent ones at the end seldom are.
@@ -55,7 +55,7 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 0.7) ->
         return ranked.select("i", F.explode(F.slice("r", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("x")).select("i", "x.w")
 
     a, b = (prefixes(s) for s in sets)
-    pairs = a.select(F.col("i").alias("id_a"), "w").join(b.select(F.col("i").alias("id_b"), "w"), "w").where("id_a <> id_b").select("id_a", "id_b").distinct()
+    pairs = a.select(F.col("i").alias("id_a"), "w").join(b.select(F.col("i").alias("id_b"), "w"), "w").where(F.col("id_a") != F.col("id_b") if apart else F.lit(True)).select("id_a", "id_b").distinct()
     both = pairs.join(sets[0].select(F.col("i").alias("id_a"), F.col("tokens").alias("x")), "id_a").join(sets[1].select(F.col("i").alias("id_b"), F.col("tokens").alias("y")), "id_b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("overlap", shared / (F.size("x") + F.size("y") - shared)).where(F.col("overlap") >= threshold).select("id_a", "id_b", "overlap")
@@ -67,20 +67,59 @@ def enrich_by_doi(records: DataFrame, catalogue: DataFrame) -> DataFrame:
     Of several entries the lowest source_rank with a title wins. An entry whose title is unlike a plausible title of
     the record is another work's and is left out: null.
     """
-    bare = lambda c: F.lower(F.regexp_replace(F.trim(c), r"(?i)^(https?://(dx\.)?doi\.org/|doi:\s*)", ""))
-    entries = catalogue.where(F.col("title") != "").groupBy(bare(F.col("doi")).alias("k")).agg(F.min(F.struct("source_rank", F.col("title").alias("found_title"), F.col("year").alias("found_year"), F.col("venue").alias("found_venue"))).alias("e"))
-    out = records.withColumn("k", bare(F.col("doi"))).join(entries.where("k <> ''"), "k", "left").drop("k")
+    entries = catalogue.where(F.col("title") != "").groupBy(T.bare_doi("doi").alias("k")).agg(F.min(F.struct("source_rank", F.col("title").alias("found_title"), F.col("year").alias("found_year"), F.col("venue").alias("found_venue"))).alias("e"))
+    out = records.withColumn("k", T.bare_doi("doi")).join(entries.where("k <> ''"), "k", "left").drop("k")
     unlike = T.title_plausible("title") & (T.title_overlap("title", "e.found_title") < 0.5)
     keep = F.when(~F.coalesce(unlike, F.lit(False)), F.col("e"))
     return out.withColumn("e", keep).select(*records.columns, "e.found_title", "e.found_year", "e.found_venue")
 
 
+#: The sources that are searched by title, in their order, with the least overlap of an entry and the least score that the source gives it.
+TITLE_SOURCES = (("arxiv", 0.55, 0.0), ("crossref", 0.7, 50.0))
+
+
 def search_by_title(records: DataFrame, catalogue: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(id, entry_id, overlap): the best entry (id, title) for each record (id, title) with a plausible title of three words or more."""
     asked = records.where(T.title_plausible("title") & (F.size(T.title_tokens("title")) >= 3)).select("id", "title")
     pairs = similar_titles(asked, catalogue.select("id", "title"), threshold)
-    first = F.row_number().over(Window.partitionBy("id_a").orderBy(F.col("overlap").desc(), "id_b"))
-    return pairs.withColumn("n", first).where("n = 1").select(F.col("id_a").alias("id"), F.col("id_b").alias("entry_id"), "overlap")
+    best = pairs.groupBy("id_a").agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.col("id_b").alias("b"))).alias("x"))
+    return best.select(F.col("id_a").alias("id"), F.col("x.b").alias("entry_id"), (-F.col("x.o")).alias("overlap"))
+
+
+def enrich_by_title(records: DataFrame, catalogue: DataFrame, sources: tuple = TITLE_SOURCES) -> DataFrame:
+    """(id, found_title, found_year, found_venue, found_doi) of each record (id, title) that a source knows.
+
+    catalogue: (source, pos, score, title, year, venue, doi), pos the order in which a source lists its entries. The first source with an entry of enough
+    overlap and score wins, of its entries the first. A record without a plausible title of three words asks nothing.
+    """
+    asked = records.where(T.title_plausible("title") & (F.size(T.title_tokens("title")) >= 3)).select("id", "title")
+    entries = catalogue.withColumn("entry", F.struct("source", "pos"))
+    found = None
+    for rank, (source, overlap, score) in enumerate(sources):
+        own = entries.where((F.col("source") == source) & (F.coalesce("score", F.lit(0.0)) >= score) & (F.col("title") != ""))
+        near = similar_titles(asked, own.select(F.col("entry").alias("id"), "title"), overlap, apart=False)
+        hit = near.groupBy("id_a").agg(F.min("id_b").alias("entry")).select(F.col("id_a").alias("id"), F.lit(rank).alias("rank"), "entry")
+        found = hit if found is None else found.union(hit)
+    first = found.groupBy("id").agg(F.min(F.struct("rank", "entry")).alias("x")).select("id", F.col("x.entry").alias("entry"))
+    return first.join(entries, "entry").select("id", F.col("title").alias("found_title"), F.col("year").alias("found_year"), F.col("venue").alias("found_venue"), F.col("doi").alias("found_doi"))
+
+
+#: Fixed value: the share of a record's title words that a work found by title must have.
+REFERENCE_OVERLAP = 0.6
+
+
+def references(records: DataFrame, works: DataFrame, hits: DataFrame) -> DataFrame:
+    """(paper_id, own_ref, refs): what each record (id, doi, title) cites: by its DOI, else by the first fitting hit of a search for its title.
+
+    works: (doi, ref, refs); hits: (id, pos, ref, title, refs), what a search for a record's title gave, in the source's order. Blank DOIs and titles find nothing.
+    """
+    by_doi = works.where(T.bare_doi("doi") != "").groupBy(T.bare_doi("doi").alias("k")).agg(F.min(F.struct("ref", "refs")).alias("w"))
+    r = records.select("id", T.bare_doi("doi").alias("k"), F.col("title").alias("own_title")).join(by_doi, "k", "left")
+    # at most a page of hits for a record
+    fits = r.where("w is null").join(hits, "id").where((F.col("title") != "") & (T.title_contained("own_title", "title") >= REFERENCE_OVERLAP))
+    first = fits.groupBy("id").agg(F.min(F.struct("pos", "ref", "refs")).alias("h")).select("id", "h.ref", "h.refs")
+    found = r.where("w is not null").select("id", "w.ref", "w.refs").union(first)
+    return found.select(F.col("id").alias("paper_id"), F.col("ref").alias("own_ref"), "refs")
 
 
 def filled(local: DataFrame, *others: DataFrame, fields: tuple[str, ...] = ("title", "authors", "year", "venue", "doi", "keywords")) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folialis.functions import text as T
@@ -24,33 +24,40 @@ def recall(papers: DataFrame, question: str, most: int = 3) -> DataFrame:
 
 
 def newest(papers: DataFrame, most: int = 3) -> DataFrame:
-    ids = live(papers).select("id", "created_at").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(most).select("id")
-    return papers.join(F.broadcast(ids), "id", "left_semi")
+    """The newest live papers, the newest first."""
+    order = (F.col("created_at").desc(), F.col("id").desc())
+    ids = live(papers).select("id", "created_at").orderBy(*order).limit(most).select("id")
+    return papers.join(F.broadcast(ids), "id", "left_semi").orderBy(*order)
+
+
+#: How many windows of how many characters make an excerpt, how it begins without one, and how much of it and of a summary is kept.
+WINDOWS, WINDOW, BEGINNING, EXCERPT, QUOTED, SUMMARY = 3, 500, 800, 1800, 1000, 800
 
 
 def sources(papers: DataFrame, question: str, most: int = 3) -> DataFrame:
-    """(id, title, excerpt, block, fallback): what an answer may quote; the newest papers where nothing is found.
+    """(rank, id, title, excerpt, block, fallback): what an answer may quote, best first; the newest papers where nothing is found.
 
     excerpt: windows around hits, else the beginning; block: the part of the prompt.
     """
     hits = recall(papers, question, most)
     # both sides have at most ten rows
     rest = newest(papers, most).join(hits.agg(F.count("*").alias("hits"))).where("hits = 0").drop("hits")
-    rows = hits.withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
+    ranked = lambda rows, *order: rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    rows = ranked(hits.withColumn("fallback", F.lit(False)), F.col("year").desc(), F.col("id").desc()).unionByName(ranked(rest.withColumn("fallback", F.lit(True)), F.col("created_at").desc(), F.col("id").desc()))
     body = F.coalesce("fulltext", F.lit(""))
-    around = F.array_join(T.excerpts(body, question), "\n…\n")
-    excerpt = F.substring(F.when(around != "", around).otherwise(F.substring(body, 1, 800)), 1, 1800)
-    return rows.select("id", "title", F.substring(excerpt, 1, 1000).alias("excerpt"), _block(excerpt).alias("block"), "fallback")
+    around = F.array_join(T.excerpts(body, question, WINDOWS, WINDOW), "\n…\n")
+    excerpt = T.truncated(F.when(around != "", around).otherwise(T.truncated(body, BEGINNING)), EXCERPT)
+    return rows.select("rank", "id", "title", T.truncated(excerpt, QUOTED).alias("excerpt"), _block(excerpt).alias("block"), "fallback")
 
 
 def _block(excerpt: Column) -> Column:
     year = F.when(F.col("year") > 0, F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(")"))).otherwise("")
-    summary = F.substring(F.coalesce("summary", F.lit("")), 1, 800)
+    summary = T.truncated(F.coalesce("summary", F.lit("")), SUMMARY)
     return F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), year, F.lit("\n"), F.coalesce("authors", F.lit("")), F.when(summary != "", F.concat(F.lit("\n"), summary)).otherwise(""), F.when(excerpt != "", F.concat(F.lit("\n"), excerpt)).otherwise(""))
 
 
 def prompt(papers: DataFrame, question: str, most: int = 3) -> DataFrame:
-    """One row with the prompt for a question and the ids that it cites."""
+    """One row with the prompt for a question and the ids that it cites, best first."""
     s = sources(papers, question, most)
-    ordered = F.array_sort(F.collect_list(F.struct("id", "block")))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "id", "block")))
     return s.agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n").alias("context"), F.transform(ordered, lambda x: x["id"]).alias("cited")).select(F.concat(F.col("context"), F.lit("\n\n"), F.lit(question)).alias("prompt"), "cited")

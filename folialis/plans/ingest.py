@@ -11,8 +11,8 @@ from folialis.functions import jsonx, text as T
 from folialis.operators import mutate, resolve
 from folialis.sources import pdf
 
-#: Fixed value: characters of full text that are stored.
-STORED = 200_000
+#: Characters of full text that are stored, and characters that a model is shown for a record's fields and for its summary.
+STORED, SHOWN_META, SHOWN_SUMMARY = 200_000, 6_000, 8_000
 
 
 class Answers(Protocol):
@@ -21,39 +21,48 @@ class Answers(Protocol):
     def __call__(self, prompts: DataFrame) -> DataFrame: ...
 
 
-def meta_prompts(records: DataFrame) -> DataFrame:
+def meta_prompts(records: DataFrame, shown: int = SHOWN_META) -> DataFrame:
     """(id, prompt) that asks for a record's bibliographic fields as one JSON object."""
     ask = F.lit(f"Give {', '.join(jsonx.META_KEYS)} of this document as one JSON object.\n\n")
-    return records.select("id", F.concat(ask, F.coalesce("title", F.lit("")), F.lit("\n"), F.substring(F.coalesce("fulltext", F.lit("")), 1, 6000)).alias("prompt"))
+    return records.select("id", F.concat(ask, F.coalesce("title", F.lit("")), F.lit("\n"), T.truncated(F.coalesce("fulltext", F.lit("")), shown)).alias("prompt"))
 
 
-def described(records: DataFrame, catalogue: DataFrame | None = None, answers: Answers | None = None) -> DataFrame:
+def described(records: DataFrame, catalogue: DataFrame | None = None, answers: Answers | None = None, searched: DataFrame | None = None) -> DataFrame:
     """records (id, title, authors, year, venue, doi, keywords, fulltext) with blanks filled from a catalogue, then from a model's answers.
 
-    What the user or the file says goes before the catalogue, and that before the model.
+    What the user or the file says goes before the catalogue, and that before the model. A record whose DOI gives nothing is looked for by its title in
+    searched (see resolve.enrich_by_title), and a DOI that names another work than a plausible title is dropped.
     """
     others = []
     if catalogue is not None:
-        found = resolve.enrich_by_doi(records.select("id", "title", "doi"), catalogue)
-        others.append(found.select("id", F.col("found_title").alias("title"), F.col("found_year").alias("year"), F.col("found_venue").alias("venue")))
+        found = resolve.enrich_by_doi(records.select("id", "title", "doi"), catalogue).select("id", F.col("found_title").alias("title"), F.col("found_year").alias("year"), F.col("found_venue").alias("venue"))
+        got = found.where("title is not null")
+        others.append(got)
+        # a DOI that gave nothing, or another work, is no source of a plausible title
+        kept = F.when((F.trim("doi") != "") & F.col("_known").isNull() & T.title_plausible("title"), F.lit("")).otherwise(F.col("doi"))
+        records = records.join(got.select("id", F.lit(True).alias("_known")), "id", "left").withColumn("doi", kept).drop("_known")
+    if searched is not None:
+        asked = records.join(others[0], "id", "left_anti") if others else records
+        by_title = resolve.enrich_by_title(asked.select("id", "title"), searched)
+        others.append(by_title.select("id", F.col("found_title").alias("title"), F.col("found_year").alias("year"), F.col("found_venue").alias("venue"), F.col("found_doi").alias("doi")))
     if answers is not None:
         got = answers(meta_prompts(records)).select("id", jsonx.decode_meta(F.col("answer")).alias("m"))
         others.append(got.select("id", *(F.expr(f"try_cast(m['{k}'] as int)").alias("year") if k == "year" else F.col("m")[k].alias(k) for k in ("title", "authors", "year", "venue", "doi", "keywords"))))
     return resolve.filled(records, *others)
 
 
-def incoming(pdfs: DataFrame, catalogue: DataFrame | None = None, answers: Answers | None = None) -> DataFrame:
+def incoming(pdfs: DataFrame, catalogue: DataFrame | None = None, answers: Answers | None = None, searched: DataFrame | None = None) -> DataFrame:
     """The rows that files would become, without loading them (a dry run)."""
     rows = pdf.described(pdf.extracted(pdfs)).select(
         F.xxhash64("path").alias("id"), "title", "authors", F.lit(0).alias("year"), F.lit("").alias("venue"), "doi", F.lit("").alias("keywords"), F.substring("fulltext", 1, STORED).alias("fulltext"),
         F.col("path").alias("pdf_path"), F.col("size").alias("pdf_size"),
     )
-    return described(rows, catalogue, answers)
+    return described(rows, catalogue, answers, searched)
 
 
-def ingested(papers: DataFrame, pdfs: DataFrame, now: str, catalogue: DataFrame | None = None, answers: Answers | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def ingested(papers: DataFrame, pdfs: DataFrame, now: str, catalogue: DataFrame | None = None, answers: Answers | None = None, force: bool = False, searched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(papers with the new rows, rows left out with the paper that each duplicates). force loads duplicates too."""
-    new = incoming(pdfs, catalogue, answers)
+    new = incoming(pdfs, catalogue, answers, searched)
     same = resolve.duplicate_of(papers, new.select(F.col("id").alias("key"), "doi", "title", "authors"))
     fresh = new if force else new.join(same, new["id"] == same["key"], "left_anti")
     return mutate.inserted(papers, fresh.drop("id"), now), same.join(new, same["key"] == new["id"]).select("pdf_path", "paper_id", "by")
@@ -67,9 +76,9 @@ def reread(papers: DataFrame, pdfs: DataFrame, now: str) -> DataFrame:
     return mutate.patched(papers, patch, now)
 
 
-def summary_prompts(papers: DataFrame) -> DataFrame:
+def summary_prompts(papers: DataFrame, shown: int = SHOWN_SUMMARY) -> DataFrame:
     """(id, prompt) that asks for a summary from the stored text."""
-    return papers.where(F.trim(F.coalesce("fulltext", F.lit(""))) != "").select("id", F.concat(F.lit("Summarise this document.\n\n"), F.coalesce("title", F.lit("")), F.lit("\n"), F.substring("fulltext", 1, 12000)).alias("prompt"))
+    return papers.where(F.trim(F.coalesce("fulltext", F.lit(""))) != "").select("id", F.concat(F.lit("Summarise this document.\n\n"), F.coalesce("title", F.lit("")), F.lit("\n"), T.truncated("fulltext", shown)).alias("prompt"))
 
 
 def summarised(papers: DataFrame, answers: Answers, now: str) -> DataFrame:

@@ -28,10 +28,11 @@ _LIST_WHERE = """FROM papers p WHERE p.deleted_at IS NULL AND p.year >= 2005 AND
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-@query("list_page", f"""SELECT x.id, x.title, x.year, coalesce(c.name, '') AS category_name, coalesce(x.pdf_path <> '', false) AS has_pdf, coalesce(x.read, false) OR coalesce(x.status = 'read', false) AS read
-FROM (SELECT p.* {_LIST_WHERE} ORDER BY {_FOLD.format('p.title')}, p.id LIMIT 20 OFFSET 20) x LEFT JOIN categories c ON c.id = x.category_id""")
+@query("list_page", f"""SELECT x.id, x.title, x.year, coalesce(c.name, '') AS category_name, coalesce(x.pdf_path <> '', false) AS has_pdf, coalesce(x.status = 'read', false) AS read, place
+FROM (SELECT p.*, row_number() OVER (ORDER BY {_FOLD.format('p.title')}, p.id) - 20 AS place {_LIST_WHERE} ORDER BY {_FOLD.format('p.title')}, p.id LIMIT 20 OFFSET 20) x LEFT JOIN categories c ON c.id = x.category_id""")
 def list_page(spark: SparkSession, d: str) -> DataFrame:
-    return library.page(lib(spark, d), LIST).select("id", "title", "year", "category_name", "has_pdf", "read")
+    """With the place of each row in the page as it comes."""
+    return library.page(lib(spark, d), LIST).select("id", "title", "year", "category_name", "has_pdf", "read", (F.monotonically_increasing_id() + 1).alias("place"))
 
 
 @query("list_total", f"SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 20.0) AS BIGINT)) AS pages {_LIST_WHERE}")
@@ -53,8 +54,9 @@ def list_status(spark: SparkSession, d: str) -> DataFrame:
 @query("semi_by_name", """SELECT p.id FROM papers p WHERE p.deleted_at IS NULL AND EXISTS (SELECT 1 FROM paper_tags pt JOIN tags t ON t.id = pt.tag_id
 WHERE pt.paper_id = p.id AND t.name IN (SELECT name FROM tags WHERE id IN (7, 11, 200)))""")
 def semi_by_name(spark: SparkSession, d: str) -> DataFrame:
-    names = [r[0] for r in table(spark, d, "tags").where("id in (7, 11, 200)").select("name").collect()]
-    return library.filtered(lib(spark, d), PaperQuery(tag_names=names)).select("id")
+    x = lib(spark, d)
+    names = x.tags.where("id in (7, 11, 200)").select("name")
+    return library.filtered(x, PaperQuery(tag_names=names)).select("id")
 
 
 _COLS = ("title", "authors", "venue", "doi", "keywords", "summary", "fulltext")
@@ -112,18 +114,18 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", *(F.coalesce(F.try_element_at("two", F.lit(k)), F.lit("")).alias(n) for k, n in ((1, "first"), (2, "second"))))
 
 
-@query("query_tokens", r"""SELECT doc_id, CAST(len(k) AS BIGINT) AS n, array_to_string(k[1:12], '|') AS first_tokens
+@query("query_tokens", r"""SELECT doc_id, CAST(len(k) AS BIGINT) AS n, array_to_string(k, '|') AS tokens
 FROM (SELECT doc_id, regexp_extract_all(regexp_replace(lower(trim(text, ' ')), '([\x{2E81}-\x{10FFFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS k FROM documents WHERE text IS NOT NULL)""")
 def query_tokens(spark: SparkSession, d: str) -> DataFrame:
     k = T.query_tokens("text")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(k).cast("long").alias("n"), F.array_join(F.slice(k, 1, 12), "|").alias("first_tokens"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(k).cast("long").alias("n"), F.array_join(k, "|").alias("tokens"))
 
 
-@query("api_tokens", r"""SELECT doc_id, CAST(len(k) AS BIGINT) AS n, array_to_string(k[1:12], '|') AS first_tokens
+@query("api_tokens", r"""SELECT doc_id, CAST(len(k) AS BIGINT) AS n, array_to_string(k, '|') AS tokens
 FROM (SELECT doc_id, regexp_extract_all(lower(trim(text, ' ')), '[a-z0-9]+|[\x{2E81}-\x{10FFFF}]') AS k FROM documents WHERE text IS NOT NULL)""")
 def api_tokens(spark: SparkSession, d: str) -> DataFrame:
     k = T.api_tokens("text")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(k).cast("long").alias("n"), F.array_join(F.slice(k, 1, 12), "|").alias("first_tokens"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(k).cast("long").alias("n"), F.array_join(k, "|").alias("tokens"))
 
 
 _TAGS = """SELECT paper_id, string_agg(name, '|' ORDER BY name, id) AS names, count(*) AS n, CAST(sum(n_papers) AS BIGINT) AS uses FROM (SELECT DISTINCT pt.paper_id, t.id, t.name FROM paper_tags pt JOIN tags t ON t.id = pt.tag_id) x
@@ -176,7 +178,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return library.candidates(table(spark, d, "papers"), table(spark, d, "paper_tags").where("tag_id = 1"), "Index").select("id")
 
 
-@query("unused_tags", f"SELECT id, name FROM tags t WHERE NOT EXISTS (SELECT 1 FROM paper_tags p WHERE p.tag_id = t.id AND p.paper_id <= 50) ORDER BY {_FOLD.format('name')}, id LIMIT 12")
+@query("unused_tags", f"SELECT id, name FROM tags t WHERE NOT EXISTS (SELECT 1 FROM paper_tags p WHERE p.tag_id = t.id) ORDER BY {_FOLD.format('name')}, id LIMIT 12")
 def unused_tags(spark: SparkSession, d: str) -> DataFrame:
     return library.unused(table(spark, d, "tags"), table(spark, d, "paper_tags"), "tag_id", 12).select("id", "name")
 
@@ -193,10 +195,7 @@ def notes_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("annotations_sorted", "SELECT paper_id, id, page, row_number() OVER (PARTITION BY paper_id ORDER BY page, id, created_at, quote, note) AS place FROM annotations")
 def annotations_sorted(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("paper_id").orderBy("page", "id", "created_at", F.col("quote").asc_nulls_last(), F.col("note").asc_nulls_last()))
-    return table(spark, d, "annotations").select("paper_id", "id", "page", at.cast("long").alias("place"))
+    return library.annotations_of(table(spark, d, "annotations")).select("paper_id", "id", "page", F.col("place").cast("long").alias("place"))
 
 
 @query("backfilled", """SELECT id, CASE WHEN read AND coalesce(status, '') <> 'read' THEN 'read' ELSE status END AS status,
@@ -213,7 +212,7 @@ def title_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers").select("id", T.normalize_title("title").alias("title_key"), T.first_author("authors").alias("first_author"))
 
 
-@query("duplicates", f"""WITH l AS (SELECT id, lower(trim(doi, ' ')) AS doi, {_NORM.format('title')} AS t, trim(split_part(authors, ',', 1), ' ') AS a FROM papers WHERE deleted_at IS NULL),
+@query("duplicates", f"""WITH l AS (SELECT id, lower(regexp_replace(trim(doi, ' '), '(?i)^(https?://(dx\\.)?doi\\.org/|doi:\\s*)', '')) AS doi, {_NORM.format('title')} AS t, trim(split_part(authors, ',', 1), ' ') AS a FROM papers WHERE deleted_at IS NULL),
 x AS (SELECT l.id, min(m.id) AS other, 1 AS rank, 'doi' AS how FROM l JOIN l m ON l.doi = m.doi AND l.id <> m.id WHERE l.doi <> '' GROUP BY l.id
 UNION ALL SELECT l.id, min(m.id), 2, 'title' FROM l JOIN l m ON l.t = m.t AND l.a = m.a AND l.id <> m.id WHERE l.t <> '' AND l.a <> '' GROUP BY l.id)
 SELECT id, arg_min(other, rank) AS duplicate_of, arg_min(how, rank) AS "by" FROM x GROUP BY id""")
@@ -256,7 +255,13 @@ def sniff_doi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers").select("id", T.sniff_doi(F.concat(F.coalesce("doi", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit("")))).alias("found"))
 
 
-@query("sniff_title")
+_LINE = """length(s) BETWEEN 4 AND 300 AND NOT (contains(lower(s), 'arxiv:') OR contains(lower(s), 'doi:') OR contains(lower(s), 'doi.org') OR contains(lower(s), 'http://') OR contains(lower(s), 'https://') OR contains(lower(s), 'www.') OR contains(lower(s), '©') OR contains(lower(s), 'copyright') OR contains(lower(s), 'isbn') OR contains(lower(s), 'issn'))
+AND NOT regexp_matches(lower(s), '^(abstract|contents|table of contents|references|acknowledg|keywords|index terms|vol\\.|no\\. |introduction|conclusion|related work|摘要|关键词|参考文献|目录|附录|page [0-9])') AND length(regexp_replace(s, '[^a-zA-Z0-9\\x{80}-\\x{10FFFF}]', '', 'g')) >= length(s) * """
+
+
+@query("sniff_title", f"""WITH l AS (SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: length(s) BETWEEN 8 AND 200 AND NOT regexp_matches(s, '^\\p{{Nd}}') AND NOT regexp_matches(lower(s), '^(doi|copyright|abstract|http|www|arxiv:|@|©)')
+AND NOT (contains(lower(s), 'http://') OR contains(lower(s), 'https://') OR contains(lower(s), 'www.') OR contains(lower(s), 'doi.org') OR contains(lower(s), 'arxiv:')) AND length(regexp_replace(s, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) >= length(s) * 0.45)[1], '') AS s FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, s AS title, {_LINE}0.5 AS is_line, CASE WHEN NOT regexp_matches(lower(s), 'appendix|untitled|unknown|microsoft word|powerpoint|layout|print|slide|\\.doc|\\.pdf|\\.tex') AND (contains(s, ' ') OR length(s) >= 12) AND {_LINE}0.4 THEN s ELSE '' END AS info FROM l""")
 def sniff_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.sniff_title("text").alias("title"), T.plausible_line(T.sniff_title("text")).alias("is_line"), T.info_title(T.sniff_title("text")).alias("info"))
 
@@ -351,12 +356,17 @@ def rects_valid(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "annotations").select("id", "paper_id", "created_at", rects.valid(F.col("rects")).alias("ok"), rects.colour(F.col("color")).alias("color"), rects.kind(F.col("kind")).alias("kind"))
 
 
-@query("rects_merged")
+@query("rects_merged", """WITH RECURSIVE a AS (SELECT row_number() OVER () AS k, id, rects FROM annotations), u AS (SELECT k, id, unnest(rects) AS r FROM a), o AS (SELECT k, id, r.p AS p, r.y AS y, r.x AS x, r.w AS w, r.h AS h, row_number() OVER (PARTITION BY k ORDER BY r.p, r.y, r.x, r.w, r.h) AS n FROM u),
+s AS (SELECT k, id, n, p, y, x, w, h, 1 AS run FROM o WHERE n = 1 UNION ALL SELECT o.k, o.id, o.n, o.p, CASE WHEN j THEN s.y ELSE o.y END, CASE WHEN j THEN least(s.x, o.x) ELSE o.x END, CASE WHEN j THEN greatest(s.x + s.w, o.x + o.w) - least(s.x, o.x) ELSE o.w END, CASE WHEN j THEN s.h ELSE o.h END, CASE WHEN j THEN s.run ELSE s.run + 1 END
+FROM s JOIN o ON o.k = s.k AND o.n = s.n + 1, LATERAL (SELECT s.p = o.p AND abs(s.y - o.y) < 0.004 AND abs(s.h - o.h) < 0.004 AND o.x <= s.x + s.w + 0.01 AS j) z), f AS (SELECT *, row_number() OVER (PARTITION BY k, run ORDER BY n DESC) AS last FROM s)
+SELECT id, CAST(run AS INTEGER) AS place, p, round(x, 9) AS x, round(y, 9) AS y, round(w, 9) AS w, round(h, 9) AS h FROM f WHERE last = 1""")
 def rects_merged(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "annotations").select("id", "paper_id", F.to_json(rects.merge(rects.from_json(F.to_json("rects")))).alias("merged"))
+    """The rectangles of each annotation after joining, also those that leave the page, through their JSON."""
+    merged = table(spark, d, "annotations").select("id", F.posexplode(rects.merge(rects.from_json(F.to_json("rects")))).alias("n", "r"))
+    return merged.select("id", (F.col("n") + 1).alias("place"), "r.p", *(F.round(f"r.{c}", 9).alias(c) for c in "xywh"))
 
 
-@query("json_values")
+@query("json_values", """SELECT event_id, props AS object, props AS repaired, json_extract_string(props, '$.k') AS k FROM events""")
 def json_values(spark: SparkSession, d: str) -> DataFrame:
     """Values of events.props, also from answers that wrap or cut the object."""
     e = table(spark, d, "events")
@@ -480,18 +490,20 @@ def unique_names(spark: SparkSession, d: str) -> DataFrame:
     return mutate.ensured(t, t.select(F.concat(F.lit(" "), "name").alias("name"))).groupBy("name").agg((F.count("*") > 1).alias("taken"))
 
 
-@query("answer_sources")
+_ASKED = ("how", "does", "a", "graph", "kernel", "handle", "glaciers")
+_NEXT = lambda at: "(SELECT min(x) FROM (VALUES " + ", ".join(f"(nullif(instr(substr(low, {at} + 1), '{t}'), 0) + {at})" for t in _ASKED) + ") v(x))"
+_WINDOW = lambda h: f"greatest({h} - 251, 0)"
+_ANSWER = f"""WITH f AS (SELECT *, row_number() OVER (ORDER BY year DESC, id DESC) AS rank FROM papers WHERE deleted_at IS NULL AND ({' OR '.join(_ANY(f'%{t}%') for t in _ASKED)})), b AS (SELECT *, coalesce(fulltext, '') AS ft, lower(coalesce(fulltext, '')) AS low FROM f WHERE rank <= 3),
+h1 AS (SELECT *, {_NEXT('0')} AS a FROM b), h2 AS (SELECT *, {_NEXT(f"least({_WINDOW('a')} + 500, length(ft))")} AS b2 FROM h1), h3 AS (SELECT *, {_NEXT(f"least({_WINDOW('b2')} + 500, length(ft))")} AS c FROM h2),
+e AS (SELECT *, concat_ws(chr(10) || '…' || chr(10), {', '.join(f"CASE WHEN {h} IS NOT NULL THEN trim(substr(ft, {_WINDOW(h)} + 1, least({_WINDOW(h)} + 500, length(ft)) - {_WINDOW(h)}), ' ') END" for h in ('a', 'b2', 'c'))}) AS win FROM h3), x AS (SELECT *, left(CASE WHEN win <> '' THEN win ELSE left(ft, 800) END, 1800) AS excerpt FROM e),
+s AS (SELECT CAST(rank AS INTEGER) AS rank, id, title, left(excerpt, 1000) AS excerpt, '[' || id || '] ' || coalesce(title, '') || (CASE WHEN year > 0 THEN ' (' || year || ')' ELSE '' END) || chr(10) || coalesce(authors, '') || (CASE WHEN coalesce(summary, '') <> '' THEN chr(10) || left(summary, 800) ELSE '' END) || (CASE WHEN excerpt <> '' THEN chr(10) || excerpt ELSE '' END) AS block, false AS fallback FROM x)"""
+
+
+@query("answer_sources", f"{_ANSWER} SELECT * FROM s")
 def answer_sources(spark: SparkSession, d: str) -> DataFrame:
     return search.sources(table(spark, d, "papers"), "How does a graph kernel handle glaciers?", 3)
 
 
-@query("answer_prompt")
+@query("answer_prompt", f"{_ANSWER} SELECT string_agg(block, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'How does a graph kernel handle glaciers?' AS prompt, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS cited FROM s")
 def answer_prompt(spark: SparkSession, d: str) -> DataFrame:
-    return search.prompt(table(spark, d, "papers"), "How does a graph kernel handle glaciers?", 3)
-
-
-@query("title_search")
-def title_search(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set of titles against all others: the best entry of each."""
-    p = table(spark, d, "papers").select("id", "title")
-    return resolve.search_by_title(p.where("id % 50 = 0"), p)
+    return search.prompt(table(spark, d, "papers"), "How does a graph kernel handle glaciers?", 3).withColumn("cited", F.array_join(F.col("cited").cast("array<string>"), ","))

@@ -6,9 +6,11 @@ and those without text give an empty text; a broken stream is skipped.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +22,15 @@ from folialis.functions import text as T
 ENCRYPT_WITHIN, MOST_TEXT, MOST_STREAM = 2048, 5 << 20, 64 << 20
 #: Kerning (thousandths of the font's size) from which a move is a blank.
 KERN_BLANK = -150.0
+#: Sizes that are tried for a title, how near to one of them a line's size is, the words of a title after which no line is added, and
+#: how many words a line of names has and how long they are at most.
+TIERS, NEAR_SIZE, TITLE_WORDS, NAMES, NAME_LENGTH = 3, 0.5, 40, range(2, 15), 14
 #: Words after which a title line goes on.
 FUNCTION_WORDS = frozenset("for of and with in on to by a an the via using from as at into onto over under".split())
 
 _STREAM = re.compile(rb"stream\r?\n")
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b")
+_REFERENCE = re.compile(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R\b")
 _TOKEN = re.compile(rb"""\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]*|[-+]?\d*\.?\d+|[A-Za-z'"*]+""", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 _BF = re.compile(rb"begin(bfchar|bfrange)(.*?)endbf", re.S)
@@ -69,9 +76,9 @@ def cmap(data: bytes) -> dict[bytes, str]:
     return out
 
 
-def decode(raw: bytes, codes: dict[bytes, str] | None = None) -> str:
-    """A string operand: by the map if it covers it, as UTF-16 with a mark or by its look, else as WinAnsi."""
-    if codes:
+def decode(raw: bytes, *maps: dict[bytes, str]) -> str:
+    """A string operand: by the first map that covers it, as UTF-16 with a mark or by its look, else as WinAnsi."""
+    for codes in filter(None, maps):
         width = max(len(k) for k in codes)
         if len(raw) % width == 0:
             parts = [codes.get(raw[i : i + width]) for i in range(0, len(raw), width)]
@@ -84,17 +91,53 @@ def decode(raw: bytes, codes: dict[bytes, str] | None = None) -> str:
     return raw.decode("cp1252", "replace")
 
 
-def _streams(data: bytes) -> Iterator[bytes]:
+def _streams(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """(object number, dictionary, content) of each stream."""
     for m in _STREAM.finditer(data):
         end = data.find(b"endstream", m.end())
         body = data[m.end() : end if end >= 0 else len(data)]
-        head = data[max(0, m.start() - 400) : m.start()]
-        if b"FlateDecode" in head[head.rfind(b"<<") if b"<<" in head else 0 :] or body[:1] == b"x":
+        before = data[max(0, m.start() - 400) : m.start()]
+        numbers = list(_OBJECT.finditer(before))
+        head = before[numbers[-1].end() :] if numbers else before[before.rfind(b"<<") :] if b"<<" in before else before
+        if b"FlateDecode" in head or body[:1] == b"x":
             try:
                 body = zlib.decompressobj().decompress(body, MOST_STREAM)
             except zlib.error:
                 continue
-        yield body
+        yield int(numbers[-1][1]) if numbers else -1, head, body
+
+
+def _objects(data: bytes, streams: list[tuple[int, bytes, bytes]]) -> dict[int, bytes]:
+    """The text of each object outside streams, those packed in object streams included."""
+    out: dict[int, bytes] = {}
+    for m in _OBJECT.finditer(data):
+        ends = [e for e in (data.find(b"endobj", m.end()), data.find(b"stream", m.end())) if e >= 0]
+        out[int(m[1])] = data[m.end() : min(ends, default=len(data))]
+    for _, head, body in streams:
+        first = re.search(rb"/First\s+(\d+)", head) if b"/ObjStm" in head else None
+        if first:
+            start = int(first[1])
+            index = [int(x) for x in re.findall(rb"\d+", body[:start])]
+            places = [*index[1::2], len(body) - start]
+            out.update((n, body[start + a : start + z]) for n, a, z in zip(index[::2], places, places[1:], strict=False))
+    return out
+
+
+def font_maps(data: bytes, streams: list[tuple[int, bytes, bytes]]) -> dict[bytes, list[dict[bytes, str]]]:
+    """The code maps of each font name. A name that means several fonts on several pages has several, in the order of the file."""
+    by_number = {n: body for n, _, body in streams if b"begincmap" in body}
+    if not by_number:
+        return {}
+    objects = _objects(data, streams)
+    of_font = {n: int(m[1]) for n, text in objects.items() if (m := re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", text)) and int(m[1]) in by_number}
+    parsed = {n: cmap(by_number[n]) for n in set(of_font.values())}
+    out: dict[bytes, list[dict[bytes, str]]] = {}
+    for text in objects.values():
+        for name, ref in _REFERENCE.findall(text):
+            codes = parsed.get(of_font.get(int(ref), -1))
+            if codes and codes not in out.setdefault(name, []):
+                out[name].append(codes)
+    return {k: v for k, v in out.items() if v}
 
 
 def lines_of(data: bytes) -> list[tuple[int, float, str]]:
@@ -102,18 +145,21 @@ def lines_of(data: bytes) -> list[tuple[int, float, str]]:
     if data[:5] != b"%PDF-" or b"/Encrypt" in data[:ENCRYPT_WITHIN]:
         return []
     streams = list(_streams(data))
-    codes: dict[bytes, str] = {}
-    for s in streams:
+    fonts = font_maps(data, streams)
+    # for text whose font has no map of its own
+    loose: dict[bytes, str] = {}
+    for _, _, s in streams if not fonts else ():
         if b"begincmap" in s:
-            codes |= cmap(s)
+            loose |= cmap(s)
     out: list[tuple[int, float, str]] = []
     page = total = 0
-    for s in streams:
+    for _, _, s in streams:
         if b"BT" not in s or b"begincmap" in s:
             continue
         page += 1
         stack: list = []
         size, line = 0.0, ""
+        codes = [loose]
 
         def flush() -> None:
             nonlocal line
@@ -126,7 +172,7 @@ def lines_of(data: bytes) -> list[tuple[int, float, str]]:
             t = m[0]
             c = t[:1]
             if c == b"(" or c == b"<" and t not in (b"<<",):
-                value = decode(_unescape(t[1:-1]) if c == b"(" else _hex(t[1:-1]), codes)
+                value = decode(_unescape(t[1:-1]) if c == b"(" else _hex(t[1:-1]), *codes)
                 (stack if array is None else array).append(value)
             elif t == b"[":
                 array = []
@@ -142,6 +188,8 @@ def lines_of(data: bytes) -> list[tuple[int, float, str]]:
                     if stack[-1] != size:
                         flush()
                     size = stack[-1]
+                    if len(stack) > 1 and isinstance(stack[-2], bytes):
+                        codes = fonts.get(stack[-2][1:], [loose])
                 elif t in (b"Td", b"TD", b"T*", b"Tm", b"ET"):
                     if t != b"Td" or len(stack) < 2 or stack[-1] != 0.0:
                         flush()
@@ -194,30 +242,41 @@ def _plausible(s: str, least: int, ratio: float) -> bool:
     return least <= n <= 300 and not any(x in low for x in T.LINE_BARRED) and not low.startswith(T.LINE_JUNK) and not re.match(r"page \d", low) and kept >= n * ratio
 
 
-def _names(line: str) -> bool:
-    """Whether a line looks like names: two to fourteen words, none in lower case, none long."""
-    words = [w for w in (x.strip(".,;:·") for x in line.split()) if w]
-    return 2 <= len(line.split()) <= 14 and all(not (len(w) > 1 and w[0].islower()) and len(w) <= 14 for w in words)
+#: A word as it counts for shapes: its first letter, if that is in lower case, and its length.
+_WORD = re.compile(r"[^\s.,;:·](?:\S*[^\s.,;:·])?")
+
+
+def nameness(line: str) -> float:
+    """The share of words that may be part of a name: not begun in lower case (single letters aside) and not long. 0 for lines that are too short or long for names."""
+    words = _WORD.findall(line)
+    if len(line.split()) not in NAMES or not words:
+        return 0.0
+    return sum(len(w) <= NAME_LENGTH and (len(w) == 1 or not w[0].islower()) for w in words) / len(words)
+
+
+def openness(line: str) -> float:
+    """1 if the line's last word, marks aside, asks for more, else 0."""
+    last = re.findall(r"\w+", line.lower())[-1:]
+    return float(bool(last) and last[0] in FUNCTION_WORDS)
 
 
 def title_by_size(lines: list[tuple[int, float, str]]) -> str:
-    """The title: lines of the largest of three sizes on the first page, else the second, up to what looks like names."""
-    for page in (1, 2):
-        rows = [(p, s, " ".join(t.split())) for p, s, t in lines if p == page and t.strip()]
-        rows = [r for r in joined_vertical(rows) if _plausible(r[2], 4, 0.5)]
-        for top in sorted({r[1] for r in rows}, reverse=True)[:3]:
-            parts: list[str] = []
-            for _, size, t in rows:
-                if size < top - 0.5:
-                    continue
-                open_end = parts and parts[-1].split()[-1].strip(".,;:!?—–-()[]\"'").lower() in FUNCTION_WORDS
-                if parts and not open_end and _names(t):
-                    break
-                parts.append(t)
-                if sum(len(x.split()) for x in parts) > 40:
-                    break
-            if parts and _plausible(" ".join(parts), 8, 0.45):
-                return " ".join(parts)
+    """The title of a file, from how large its lines are and what their words look like.
+
+    Each of the largest sizes of a page gives a column of lines. Every joint of two lines is scored: nameness of the lower less
+    openness of the upper line; the title reaches down to the first joint that scores 1, or until it has its words.
+    """
+    pages = [joined_vertical([(p, s, " ".join(t.split())) for p, s, t in lines if p == page and t.strip()]) for page in (1, 2)]
+    for rows in pages:
+        good = [(s, t) for _, s, t in rows if _plausible(t, 4, 0.5)]
+        for top in heapq.nlargest(TIERS, {s for s, _ in good}):
+            column = [t for s, t in good if s >= top - NEAR_SIZE]
+            scores = [nameness(low) - openness(up) for up, low in pairwise(column)]
+            sizes = accumulate(len(t.split()) for t in column)
+            ends = [k + 1 for k, x in enumerate(scores) if x >= 1] + [k + 1 for k, n in enumerate(sizes) if n > TITLE_WORDS]
+            title = " ".join(column[: min(ends, default=len(column))])
+            if _plausible(title, 8, 0.45):
+                return title
     return ""
 
 
@@ -246,7 +305,7 @@ def extracted(pdfs: DataFrame) -> DataFrame:
 def described(files: DataFrame) -> DataFrame:
     """(path, size, title, authors, doi, fulltext): the title from the file's own entry, else by size, else the first plausible line, else the file's name."""
     text = T.clean_text(T.normalize_text("text"))
-    own, line = T.info_title("info_title"), T.sniff_title("text")
+    own, line = T.info_title("info_title"), T.sniff_file_title("text")
     some = lambda c: F.nullif(c, F.lit(""))
     return files.select(
         "path", "size", F.coalesce(some(own), some(F.col("sized_title")), some(line), T.clean_title("path")).alias("title"), F.col("info_author").alias("authors"),
