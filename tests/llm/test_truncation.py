@@ -1,10 +1,14 @@
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folialis.llm import truncation as T
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
 
 def sentence(r):
     return f"The {r.choice(['gated', 'sparse', 'joint'])} model {r.choice(['wins', 'fails', 'trains'])} on set {r.randint(1, 9)}.{r.randint(10, 99)} near the {r.choice(['lake', 'coast', 'bay'])}, i.e. {r.randint(2, 90)} % of {r.choice(['cases', 'rows'])}."
@@ -74,3 +78,38 @@ def test_footers_of_rare_sources_and_long_ones(spark):
     got = T.score(df, "doc_id", "text", "source")
     assert [x.source for x in T.rates(got).collect() if x.n_cut] == []
     assert sorted(T.footers(T.common_ends(df.select("source", "text")))) == [("long", long), ("rare", "\n\nSent by mailer")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_same_in_any_layout(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    got = [{r.id for r in T.score(d.repartition(n), "doc_id", "text", "source").where("is_cut").collect()} for n in (1, 150)]
+    assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_shares_are_learned():
+    counts = np.zeros((T.STEPS + 1, len(T.CLASSES)))
+    counts[0] = [300, 8000, 1500, 200]
+    counts[-1] = [970, 25, 5, 0]
+    cut, whole, rate = T.learn_shares(counts)
+    assert 0.02 < rate < 0.04 and cut[0] > 0.95 and whole[0] < 0.01 and whole[1] > 0.75
+
+
+def test_length_decides_what_endings_leave_open(spark):
+    cut, whole = np.array([0.97, 0.02, 0.005, 0.005]), np.array([0.001, 0.8, 0.15, 0.049])
+    rows = spark.createDataFrame([("stop", 0.3, 0.03), ("stop", 0.3, 0.99), ("stop", 0.99, 0.99), ("line", 0.0, 0.03), ("line", 0.0, 0.99), ("open", 0.0, 0.03), ("closed", 0.0, 0.99)], "kind string, b double, p double")
+    odds = [r[0] for r in rows.select(T.case_odds(F.col("kind"), F.col("b"), F.col("p"), cut, whole, 0.8)).collect()]
+    assert [x > 0 for x in odds] == [False, True, False, False, True, True, False]
+
+
+def test_rates_of_planted_cuts(spark):
+    r = random.Random(11)
+    rows, planted = [], {"a": 0, "b": 0, "c": 0}
+    for i in range(900):
+        text, source = " ".join(sentence(r) for _ in range(4)), "abc"[i % 3]
+        if i % {"a": 5, "b": 20, "c": 1000}[source] == 0 and source != "c":
+            text = text[: len(text) - 15]
+            planted[source] += 1
+        rows.append((i, text, source))
+    got = T.rates(T.score(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source"))
+    assert {x.source: (x.n_texts, x.n_cut) for x in got.collect()} == {s: (300, n) for s, n in planted.items()}
