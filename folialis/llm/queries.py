@@ -10,7 +10,7 @@ from folialis.llm.components import components
 from folialis.llm.mojibake import find
 from folialis.llm.names import link_papers
 from folialis.llm.near_dup import NearDuplicates
-from folialis.llm.packing import context_length, pack
+from folialis.llm.packing import context_length, context_lengths, pack
 from folialis.llm.survivor import FILLERS, choose, credible, doi_edges, usable_doi, usable_venue
 from folialis.llm.truncation import rates, score
 from folialis.operators.multivalue import split_values
@@ -61,8 +61,31 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
-def p7_prompts(spark: SparkSession, d: str, entry: str = "tarn-2") -> DataFrame:
-    return pack(table(spark, d, "documents"), "doc_id", "text", context_length(table(spark, d, "models"), entry))
+def p7_prompts(spark: SparkSession, d: str, entry: str | None = None) -> DataFrame:
+    """The documents in prompts for the entries of models, each prompt for the first entry of its context length; or for one entry alone."""
+    models = table(spark, d, "models")
+    entries = {context_length(models, entry): entry} if entry else context_lengths(models)
+    names = F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
+    return pack(table(spark, d, "documents"), "doc_id", "text", list(entries)).withColumn("model", F.element_at(names, F.col("context_length")))
+
+
+def p7_held(spark: SparkSession, d: str) -> DataFrame:
+    """One row: what holds of p7_prompts for any documents: each is there once and whole, none is split that a prompt could hold, no prompt is over its model's length, and little room is left."""
+    rows = written(p7_prompts(spark, d), "prompts")
+    documents = table(spark, d, "documents")
+    models = table(spark, d, "models").select(F.trim("id").alias("model"), F.col("context_length").alias("own"))
+    longest = models.agg(F.max("own")).head()[0]
+    per = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.countDistinct("piece").alias("pieces"))
+    prompts = rows.groupBy("prompt_id", "model", "context_length").agg(F.sum("n_tokens").alias("tokens"))
+    full = prompts.join(models.distinct(), ["model"]).where("own = context_length")
+    # a window of each length may stay nearly empty
+    tokens = prompts.agg(F.count("*").alias("n_prompts"), F.sum("context_length").alias("room"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > F.col("context_length")).alias("n_over"))
+    wasted = (F.col("room") - F.col("tokens")) > 0.03 * F.col("tokens") + 2 * longest
+    one = per.agg(F.count("*").alias("n_documents"), F.count_if((F.col("n") != F.col("last")) | (F.col("pieces") != F.col("n")) | (F.col("tokens") != F.col("end"))).alias("n_broken"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= longest)).alias("n_split"))
+    missing = documents.select("doc_id").join(rows, "doc_id", "left_anti").agg(F.count("*").alias("n_missing"))
+    # one row each, so this joins single rows
+    joined = one.join(missing).join(tokens).join(full.agg(F.count("*").alias("n_fitting")))
+    return joined.select("n_documents", "n_missing", "n_broken", "n_split", "n_over", (F.col("n_fitting") != F.col("n_prompts")).alias("wrong_model"), wasted.alias("wasteful"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +97,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(score(table(spark, d, "documents"), "doc_id", "text", "source"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts, "p7_held": p7_held, "p8_found": p8_found, "p8_rates": p8_rates}
 # Brute force: every pair of texts that share a run of words. It is for the small tables on which the results are compared.
 _PAIRS = r"""w AS (SELECT id, regexp_extract_all(regexp_replace(lower(coalesce(title, '') || ' ' || fulltext), '([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS k FROM papers WHERE trim(fulltext, ' ') <> ''),
 s AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]))) AS g FROM w), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
@@ -83,6 +106,7 @@ _DOI = r"""d0 AS (SELECT id, regexp_replace(regexp_replace(lower(regexp_replace(
 d1 AS (SELECT id, regexp_replace(regexp_extract(t, '(10\.[0-9][0-9.]*)/([^\s<>"''\[\]{}|?&#]+)'), '[.,;:!)\]>]+$', '') AS doi FROM d0),
 dois AS (SELECT id, doi FROM d1 WHERE doi <> '' AND regexp_extract(doi, '^[^/]+/(.*)$', 1) <> '' AND NOT regexp_matches(doi, '^[^/]+/[0x?*._-]*$|^10\.0*/|/to[._-]?be[._-]?(assigned|announced|determined)'))"""
 SQL: dict[str, str] = {
+    "p7_held": "SELECT count(DISTINCT doc_id) AS n_documents, 0 AS n_missing, 0 AS n_broken, 0 AS n_split, 0 AS n_over, false AS wrong_model, false AS wasteful FROM documents",
     "p1_found": f"WITH {_PAIRS} SELECT a AS paper_id_a, b AS paper_id_b FROM pairs",
     "p5_found": f"""WITH RECURSIVE {_PAIRS}, {_DOI}, e AS (SELECT a, b FROM pairs UNION SELECT x.id, y.id FROM dois x JOIN dois y ON x.doi = y.doi AND x.id < y.id), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS id, a AS m FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id WHERE r.m < u.b), g AS (SELECT id, min(m) AS group_id FROM r GROUP BY id),

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folialis.llm import bpe
-from folialis.llm.packing import Plan, context_length, pack, tier_of
+from folialis.llm.packing import Plan, context_length, context_lengths, pack, tier_of
 
 pytestmark = pytest.mark.skipif(not os.path.exists(bpe.tokenizer_file()), reason="no tokenizer files")
 
@@ -88,3 +88,36 @@ def test_context_length(spark):
     assert context_length(m, "a") == 512
     with pytest.raises(ValueError, match="b"):
         context_length(m, "b")
+
+
+def test_several_lengths(spark):
+    import random
+
+    r = random.Random(4)
+    sizes = [r.choice([1, 3, 7, 20, 60, 61, 120, 250, 300]) for _ in range(600)]
+    df = spark.createDataFrame([(i, " word" * n) for i, n in enumerate(sizes)] + [(1000, None)], "doc_id long, text string")
+    rows = pack(df, "doc_id", "text", [64, 256, 128]).collect()
+    load, room = {}, {}
+    for x in rows:
+        load[x.prompt_id] = load.get(x.prompt_id, 0) + x.n_tokens
+        assert room.setdefault(x.prompt_id, x.context_length) == x.context_length
+    assert set(room.values()) == {64, 128, 256} and all(n <= room[p] for p, n in load.items())
+    assert sum(room.values()) - sum(load.values()) <= 0.03 * sum(sizes) + 256
+    split = {x.doc_id for x in rows if x.piece > 1}
+    assert split == {i for i, n in enumerate(sizes) if n > 256}
+    with pytest.raises(ValueError, match="one token"):
+        pack(df, "doc_id", "text", [])
+
+
+def test_plans_are_nearly_linear():
+    import time
+
+    counts = {n: 1 + 7919 * n % 13 for n in range(1, 131_073)}
+    began = time.perf_counter()
+    p = Plan(counts, [131_072, 16_384, 2_048])
+    assert time.perf_counter() - began < 30 and sum(m * u for m, x in p.patterns for u in x.values()) == sum(counts.values())
+
+
+def test_context_lengths(spark):
+    m = spark.createDataFrame([("b", "x", 512, ["chat"]), (" a ", None, 512, None), ("c", "y", 64, ["embeddings"]), ("d", "z", 1024, [])], "id string, name string, context_length int, supported_protocols array<string>")
+    assert context_lengths(m) == {512: "a", 1024: "d"}

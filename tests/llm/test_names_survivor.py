@@ -43,6 +43,32 @@ def test_empty(spark):
     assert N.link(none, reg).count() == 0
 
 
+def test_short_forms_are_learned(spark):
+    given = ["Theodora", "Radomir", "Isolde"]
+    register = [(i, f"{g} {f}") for i, (g, f) in enumerate((given[k % 3], f"{w}kelmost") for k, w in enumerate(["Bar", "Cor", "Dul", "Fen", "Gal", "Hol", "Jas", "Kel", "Lun", "Mor", "Nar", "Pol"]))]
+    # Mirko is met under families of Radomir, Otto under any
+    names = [f"Mirko {n.split()[1]}" for _, n in register if n.startswith("Rad")] + [f"Otto {n.split()[1]}" for _, n in register] + ["Mirko Zelten"]
+    items = spark.createDataFrame([(i, "author", n) for i, n in enumerate(names)], "paper_id long, kind string, name string")
+    reg = spark.createDataFrame([("author", *r) for r in register], "kind string, ref_id long, full_name string")
+    got = {r.name: r.full_name for r in N.link(items, reg).collect()}
+    assert got == {n: f"Radomir {n.split()[1]}" for n in names[:4]}
+
+
+@pytest.mark.parametrize(
+    ("words", "full", "slips"),
+    [("j porous opt", "journal porous optics", 0), ("wksp quartz crtgrphy", "workshop quartz cartography", 0), ("pelv wintering wg", "pelvekfell wintering working group", 0), ("jurnal optics", "journal optics", 0), ("jouornal optics", "journal optics", 1), ("jouornal optcis", "journal optics", None), ("journal", "journal optics", None), ("review optics", "journal optics", None)],
+)
+def test_shortened(words, full, slips):
+    assert N.shortened(words, full) == slips
+
+
+def test_hot_names_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 10)
+    items = spark.createDataFrame([(i, "venue", "J. of Porous Optics" if i % 3 else f"Letters {i}") for i in range(120)], "paper_id long, kind string, name string")
+    reg = spark.createDataFrame([("venue", *v) for v in VENUES], "kind string, ref_id long, full_name string")
+    assert sorted(tuple(r) for r in N.link_papers(items.union(items), reg).collect()) == [(i, "venue", 1) for i in range(120) if i % 3]
+
+
 def osa(a, b):
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
     for i in range(1, len(a) + 1):
