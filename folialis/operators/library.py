@@ -159,11 +159,13 @@ def page(lib: Library, q: PaperQuery) -> DataFrame:
     searched = bool(q.search.strip())
     order = ordering(q.sort, q.order)
     rows = filtered(lib, q).select(*LIST_COLUMNS, *(["fulltext"] if searched else [])).orderBy(*order).offset(q.offset).limit(q.limit)
+    # the place in the page outlives the joins; a second sort by the same keys may be taken for granted and left out when the plan is made anew at run time
+    rows = rows.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
     out = with_category(with_state(rows), lib.categories)
     if searched:
         out = out.withColumn("snippet", T.snippet(F.coalesce("fulltext", F.lit("")), q.search)).drop("fulltext")
-    # a shuffled join loses the order of the page
-    return out.orderBy(*order).limit(q.limit)
+    # a shuffled join loses the order of the page, whose rows are at most those of one page
+    return out.coalesce(1).sortWithinPartitions("_place").drop("_place")
 
 
 def total(lib: Library, q: PaperQuery) -> DataFrame:

@@ -2,12 +2,14 @@
 
 Method. A field is cut into atoms at everything that may separate values; lists in brackets, quoted and braced spans are atoms that
 are never cut or joined. The atoms with the separators between them form a lattice, whose segments are the possible values:
-one atom, or several that a weak separator joins (``Family, Given`` or ``search and rescue``). Expectation
+one atom, ``Family, Given``, or a term of up to MOST atoms that weak separators join (``research, development and innovation``). Expectation
 maximisation over all fields learns how often each value and each shape of value occurs (expected counts, from the
-posterior of each segment by a forward and a backward pass), and Viterbi then takes the likeliest path.
+posterior of each segment by a forward and a backward pass), and Viterbi then takes the likeliest path. Of names, a family name and given names or initials may be one value;
+which of them are is a matter of shapes, and the column's counts only weigh the paths. Of terms, the column decides: one with separators inside is considered if it is met oftener than half as often as
+its rarest part.
 
-The counts are kept in a sketch of fixed size (ROWS rows of WIDTH cells, the smaller cell counts), so the model that is
-sent to the executors has the same few megabytes at any size of the input. Only the sketch and the shapes are shuffled.
+The counts are kept in a sketch (ROWS rows, the smaller cell counts) whose width follows the number of different values, from the least to
+the greatest of WIDTHS, so the model that is sent to the executors is bounded at any size of the input. Only the sketch and the shapes are shuffled.
 
 Edge cases. Null, empty and blank fields give no rows, nor do fields of separators only. "et al." and blank values take
 no place. Equal values in one field stay, each with its place. Fields without a weak separator have one path. Other columns are ignored, whatever their names.
@@ -31,8 +33,12 @@ from pyspark.sql import functions as F
 
 from folialis.sources.storage import spread
 
-ROWS, WIDTH = 2, 1 << 19
+ROWS = 3
+#: Least and greatest number of cells of a row; between them about sixteen cells for each different field, so that a value that was never met is seldom taken for one that was.
+WIDTHS = (1 << 18, 1 << 21)
 ROUNDS = 2
+#: Atoms that a value has at most.
+MOST = 4
 #: Concentration: how many counts the shape of an unseen value is worth.
 ALPHA = 200.0
 #: Occurrences from which a value with a separator inside is known.
@@ -58,7 +64,7 @@ SEPARATOR = re.compile(
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "{": "}", "”": "”", "「": "」", "『": "』"}
 _ANY_QUOTE = re.compile("[" + "".join(QUOTES) + "]")
 PARTICLES = frozenset("van von de la le der den del della di da du dos das zu zur ter ten el al bin ibn".split())
-#: The prior that a weak separator stands inside a value, by kind of field.
+#: How likely a weak separator stands inside a value before anything is learned, by kind of field.
 INSIDE = {"authors": {",": 0.5, "a": 0.0, "/": 0.0}, "keywords": {",": 0.1, "a": 0.3, "/": 0.1}}
 
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.[-\s]?)+$|^[A-ZÀ-ÖØ-Þ]{1,3}$")
@@ -192,21 +198,23 @@ def _shape(kind: str, atom: str) -> str:
 
 
 @lru_cache(400_000)
-def _cells(kind: str, value: str) -> tuple[int, ...]:
+def _cells(kind: str, value: str, width: int) -> tuple[int, ...]:
     key = f"{kind}\0{' '.join(value.casefold().split())}".encode()
-    return tuple(r * WIDTH + zlib.crc32(key, 0x9E37 * r) % WIDTH for r in range(ROWS))
+    return tuple(r * width + zlib.crc32(key, 0x9E37 * r) % width for r in range(ROWS))
 
 
 class Model:
     """Expected counts of values (a sketch) and of shapes."""
 
-    def __init__(self, sketch: np.ndarray | None = None, shapes: dict[str, float] | None = None):
-        self.sketch, self.shapes = sketch, shapes or {}
+    def __init__(self, sketch: np.ndarray | None = None, shapes: dict[str, float] | None = None, width: int = WIDTHS[0]):
+        self.width, self.sketch, self.shapes = width, sketch, shapes or {}
         self.total = {k: max(1.0, sum(v for s, v in self.shapes.items() if s.startswith(k))) for k in INSIDE}
         self.seen = lru_cache(400_000)(self._seen)
+        # what chance puts into a cell
+        self.noise = 0.0 if sketch is None else float(sketch.sum()) / ROWS / width
 
     def _seen(self, kind: str, value: str) -> float:
-        return float(min(self.sketch[c] for c in _cells(kind, value)))
+        return float(max(0.0, min(self.sketch[c] for c in _cells(kind, value, self.width)) - self.noise))
 
     def weigh(self, kind: str, value: str, shape: str, prior: float, own: float) -> float:
         """The probability of a value, without what its own field adds to its count."""
@@ -229,28 +237,25 @@ Segment = tuple[int, int, str, str, float]
 
 
 def joined(kind: str, atoms: list[str], seps: list[str], closed: list[bool], model: Model) -> list[Segment]:
-    """The possible values of more than one atom."""
+    """The possible values of more than one atom: a family name and what may be given names or their initials; or a term of up to MOST atoms that is known as a whole."""
     inside, out = INSIDE[kind], []
     for i in range(len(seps)):
-        if (w := _WEAK.get(seps[i])) is None and (w := _weak(seps[i])) is None:
-            continue
-        if closed[i] or closed[i + 1] or not inside[w]:
-            continue
-        left, right = atoms[i], atoms[i + 1]
-        a, b = _shape(kind, left), _shape(kind, right)
-        # a family name and what may be given names or their initials; or a value that is known as a whole
-        if kind == "authors" and w == ",":
-            # dotted initials are no name by themselves, whatever stands before them
-            if not (_FAMILY.match(a) and not _ACRONYM.match(left) and _GIVEN.match(b)) and not ("." in right and b.strip("I") == "" and "I" not in a and "H" not in a):
-                continue
-            prior = inside[w]
-        elif model.known(kind, left + seps[i] + right, [left, right]):
-            prior = KNOWN_PRIOR
-        elif model.sketch is None and w == "a":
-            prior = inside[w]
-        else:
-            continue
-        out.append((i, i + 2, left + seps[i] + right, a + w + b, prior))
+        value, shape, prior = atoms[i], _shape(kind, atoms[i]), 1.0
+        for j in range(i, min(len(seps), i + (1 if kind == "authors" else MOST - 1))):
+            if (w := _WEAK.get(seps[j])) is None and (w := _weak(seps[j])) is None or closed[j] or closed[j + 1] or not inside[w]:
+                break
+            left, right = value, atoms[j + 1]
+            value, b = value + seps[j] + right, _shape(kind, right)
+            prior *= inside[w]
+            if kind == "authors":
+                # dotted initials are no name by themselves, whatever stands before them
+                good = _FAMILY.match(shape) and not _ACRONYM.match(left) and _GIVEN.match(b) or "." in right and b.strip("I") == "" and "I" not in shape and "H" not in shape
+                weight = prior if good else 0.0
+            else:
+                weight = KNOWN_PRIOR if model.known(kind, value, atoms[i : j + 2]) else prior if model.sketch is None and "a" in (w, *(c for c in shape if c == "a")) else 0.0
+            shape += w + b
+            if weight:
+                out.append((i, j + 2, value, shape, weight))
     return out
 
 
@@ -314,17 +319,20 @@ def _fields(batch: pa.RecordBatch, kinds: list[str]) -> Iterator[tuple[int, str,
 
 def learn(fields: DataFrame, kinds: list[str], rounds: int = ROUNDS) -> Model:
     """The model after some rounds of expectation maximisation over all rows of (id, *kinds)."""
-    model = Model()
+    # different fields, of which each holds a few values
+    distinct = fields.agg(*(F.approx_count_distinct(k).alias(k) for k in kinds)).head()
+    width = 1 << max(WIDTHS[0], min(WIDTHS[1], 16 * sum(distinct))).bit_length() - 1
+    model = Model(width=width)
     for _ in range(rounds):
-        shared = fields.sparkSession.sparkContext.broadcast((model.sketch, model.shapes))
+        shared = fields.sparkSession.sparkContext.broadcast((model.sketch, model.shapes, width))
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Model(*shared.value)
-            sums, shapes, values = np.zeros(ROWS * WIDTH), Counter(), Counter()
+            sums, shapes, values = np.zeros(ROWS * width), Counter(), Counter()
 
             def spend() -> None:
                 for (kind, v), q in values.items():
-                    for c in _cells(kind, v):
+                    for c in _cells(kind, v, width):
                         sums[c] += q
                 values.clear()
 
@@ -345,12 +353,12 @@ def learn(fields: DataFrame, kinds: list[str], rounds: int = ROUNDS) -> Model:
                 names=["cell", "shape", "n"],
             )
 
-        # at most ROWS * WIDTH cells and the shapes, whatever the input
+        # at most ROWS * width cells and the shapes, whatever the input
         got = fields.mapInArrow(count, "cell long, shape string, n double").groupBy("cell", "shape").agg(F.sum("n").alias("n")).toArrow()
         cell, shape, n = got.column("cell").to_numpy(), got.column("shape").to_pylist(), got.column("n").to_numpy()
-        sketch = np.zeros(ROWS * WIDTH, np.float32)
+        sketch = np.zeros(ROWS * width, np.float32)
         sketch[cell[cell >= 0]] = n[cell >= 0]
-        model = Model(sketch, {s: float(x) for s, x in zip(shape, n, strict=True) if s is not None})
+        model = Model(sketch, {s: float(x) for s, x in zip(shape, n, strict=True) if s is not None}, width)
     return model
 
 
@@ -358,7 +366,7 @@ def split_values(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
     """(id, field_name, pos, item) for each value of the columns, which are named as kinds of INSIDE."""
     fields = spread(df.select(F.col(id).cast("long").alias("id"), *columns))
     model = learn(fields, columns)
-    shared = fields.sparkSession.sparkContext.broadcast((model.sketch, model.shapes))
+    shared = fields.sparkSession.sparkContext.broadcast((model.sketch, model.shapes, model.width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)

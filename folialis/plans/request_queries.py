@@ -210,7 +210,7 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     base = store.publish(0, categories=c, tags=table(spark, d, "tags"))
     store.publish(base, categories=c.where("id <> 1"))
     store.backup(f"{root}/backup")
-    parts = [("categories", 2, store.read("categories")), ("categories", 1, store.read("categories", 1)), ("tags", 2, store.read("tags")), ("backup", 2, spark.read.parquet(f"{root}/backup/data/categories.parquet"))]
+    parts = [("categories", 2, store.read("categories")), ("categories", 1, store.read("categories", 1)), ("tags", 2, store.read("tags")), ("backup", 2, spark.read.parquet(f"{root}/backup/categories.parquet"))]
     out = None
     for name, v, df in parts:
         n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), F.lit(v).alias("version"), "n")

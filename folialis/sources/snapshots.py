@@ -64,16 +64,16 @@ class Snapshots:
         return base + 1
 
     def backup(self, to: str, version: int | None = None, uploads: str | None = None, note: str = "") -> DataFrame:
-        """A whole version as a library directory of its own: data/<table>.parquet, data/uploads/ with every file of ``uploads``, and RESTORE.txt.
+        """A whole version as a library directory of its own: <table>.parquet each, uploads/ with every file of ``uploads``, and RESTORE.txt.
 
         Returns (path, size) of the files copied. Files are copied by the executors, block by block, so none is held whole.
         """
         to = to.rstrip("/")
         for name in self.manifest(version):
-            self.read(name, version).write.parquet(f"{to}/data/{name}.parquet")
+            self.read(name, version).write.parquet(f"{to}/{name}.parquet")
         stream = self._fs.create(self._path(f"{to}/RESTORE.txt"), True)
         try:
-            stream.write(bytearray((note or "Copy data/ to the place of the library: tables are whole Parquet tables, uploads are the files that they name.\n").encode()))
+            stream.write(bytearray((note or "Copy this folder to the place of the library: tables are whole Parquet tables, uploads are the files that they name.\n").encode()))
         finally:
             stream.close()
         kind = "path string, size long"
@@ -81,12 +81,12 @@ class Snapshots:
             return self.spark.createDataFrame([], kind)
         # names and sizes only: the content column is not read
         listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uploads).select("path", F.col("length").alias("size"))
-        target = f"{to}/data/uploads"
+        target = f"{to}/uploads"
 
         def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for path in b.column(0).to_pylist():
-                    (src, name), (dst, folder) = fs.FileSystem.from_uri(_uri(path)), fs.FileSystem.from_uri(_uri(target))
+                    (src, name), (dst, folder) = _files(path), _files(target)
                     dst.create_dir(folder, recursive=True)
                     with src.open_input_stream(name) as i, dst.open_output_stream(f"{folder}/{name.rsplit('/', 1)[-1]}") as o:
                         while block := i.read(BLOCK):
@@ -100,8 +100,10 @@ class Snapshots:
 BLOCK = 4 << 20
 
 
-def _uri(path: str) -> str:
-    """An address with a scheme; file:/x as file:///x, without escapes for local files."""
-    if path.startswith("/"):
-        return f"file://{path}"
-    return "file://" + path.removeprefix("file:").removeprefix("//") if path.startswith("file:") else path
+def _files(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address and the path in it; local paths are taken as they are, as a listing gives them without escapes."""
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)

@@ -215,3 +215,117 @@ def test_refs_of_more_works_than_a_million(spark, tmp_path):
 
     spark.range(1_000_050).selectExpr("id as paper_id", "id as tag_id").write.parquet(f"{tmp_path}/paper_tags.parquet")
     assert refs_per_paper(spark, str(tmp_path)).count() == 1_000_050
+
+
+def test_pages_keep_their_order_without_broadcasts(spark, make_papers):
+    p = make_papers(*({"title": f"graph {i * 37 % 60:02d}", "category_id": i % 3 + 1, "fulltext": "x" * i + " graph"} for i in range(60)))
+    c = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for search in ("", "graph"):
+            q = PaperQuery(search=search, sort="title", order="asc", page=2, page_size=15)
+            page = library.page(Library(p, c), q)
+            assert [r.title for r in page.collect()] == [f"graph {i:02d}" for i in range(15, 30)]
+            if search:
+                # snippets are made after the limit, and the papers are scanned once
+                plan = page._jdf.queryExecution().optimizedPlan().toString()
+                assert all("graph" in r.snippet for r in page.collect()) and plan.index("AS snippet") < plan.index("GlobalLimit 15") and plan.count("GlobalLimit 15") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ids_that_come_twice(spark, make_papers):
+    p = make_papers({}, {}, {})
+    twice = spark.createDataFrame([(1,), (1,)], "id long")
+    gone = mutate.soft_deleted(p, twice, NOW)
+    assert gone.count() == 3 and mutate.restored(gone, twice).where("deleted_at is null").count() == 3
+    with pytest.raises(ValueError, match="twice"):
+        mutate.patched(p, spark.createDataFrame([(1, "a"), (1, "b")], "id long, title string"), NOW)
+
+
+def test_whole_rows_are_written_under_a_guard(spark, make_papers):
+    p = make_papers({"title": "old", "notes": "mine", "venue": "V", "status": "read", "notes_updated_at": datetime(2024, 5, 1)}, {"title": "other", "notes": None})
+    kind = "id long, seen_notes_at timestamp_ntz, title string, notes string, year int"
+    got = mutate.updated(p, spark.createDataFrame([(1, datetime(2024, 5, 1), " new ", "changed", None)], kind), NOW).orderBy("id").collect()
+    assert (got[0].title, got[0].notes, got[0].venue, got[0].status, got[0].read, got[0].year, str(got[0].notes_updated_at)) == ("new", "changed", "", "unread", False, 0, NOW) and got[1].title == "other"
+    # the same notes are a good guard as well, and their time stays
+    same = mutate.updated(p, spark.createDataFrame([(1, None, "t", "mine", 1999)], kind), NOW).orderBy("id").first()
+    assert (same.year, same.notes_updated_at) == (1999, datetime(2024, 5, 1))
+    assert mutate.updated(p, spark.createDataFrame([(2, None, "t", None, 1)], kind), NOW).where("id = 2").first().title == "t"
+    for bad, what in (((1, datetime(2024, 5, 2), "t", "lost", 1), "notes"), ((9, None, "t", "", 1), "row")):
+        with pytest.raises(Conflict, match=what):
+            mutate.updated(p, spark.createDataFrame([bad], kind), NOW)
+
+
+def test_metadata_leaves_notes_alone(spark, make_papers):
+    p = make_papers({"title": "old", "notes": "mine", "status": "reading"})
+    got = mutate.metadata_updated(p, spark.createDataFrame([(1, "found", None)], "id long, title string, venue string"), NOW).first()
+    assert (got.title, got.notes, got.status, got.venue) == ("found", "mine", "reading", "")
+    with pytest.raises(ValueError, match="notes"):
+        mutate.metadata_updated(p, spark.createDataFrame([(1, "x")], "id long, notes string"), NOW)
+
+
+def test_saving_is_one_unit(spark, make_papers, tmp_path):
+    p = make_papers({"title": "a"}, {"title": "b"})
+    dims = spark.createDataFrame([(1, "x"), (2, "y")], "id long, name string")
+    links = lambda k: spark.createDataFrame([(1, 1), (2, 1)], f"paper_id long, {k} long")
+    t = {"papers": p, "tags": dims, "collections": dims, "paper_tags": links("tag_id"), "paper_collections": links("collection_id")}
+    rows = spark.createDataFrame([(1, "new", "")], "id long, title string, notes string")
+    rel = lambda k, *ids: spark.createDataFrame([(1, i) for i in ids], f"id long, {k} long")
+    out = mutate.saved(t, rows, rel("tag_id", 2, 2), rel("collection_id"), NOW)
+    store = Snapshots(spark, f"{tmp_path}/lib")
+    base = store.publish(0, **t)
+    store.publish(base, **out)
+    assert sorted(map(tuple, store.read("paper_tags").collect())) == [(1, 2), (2, 1)] and sorted(map(tuple, store.read("paper_collections").collect())) == [(2, 1)]
+    assert {r.title for r in store.read("papers").collect()} == {"new", "b"} and {r.title for r in store.read("papers", base).collect()} == {"a", "b"}
+    with pytest.raises(ValueError, match="tag_id"):
+        mutate.saved(t, rows, rel("tag_id", 7), rel("collection_id"), NOW)
+    with pytest.raises(Conflict):
+        store.publish(base, **out)
+    made = mutate.saved(t, spark.createDataFrame([(10, "made")], "id long, title string"), spark.createDataFrame([(10, 1)], "id long, tag_id long"), rel("collection_id"), NOW, create=True)
+    assert made["papers"].where("title = 'made' and id = 10").count() == 1 and made["paper_tags"].where("paper_id = 10").count() == 1
+    with pytest.raises(Conflict, match="taken"):
+        mutate.saved(t, rows, rel("tag_id"), rel("collection_id"), NOW, create=True)
+
+
+def test_references_by_doi_then_by_title(spark):
+    r = spark.createDataFrame([(1, "https://doi.org/10.1/A", "any"), (2, "", "Deep graph kernels"), (3, None, "Deep graph kernels"), (4, "10.9/none", "")], "id long, doi string, title string")
+    works = spark.createDataFrame([("10.1/a", "W1", ["W8", "W9"]), ("", "W0", [])], "doi string, ref string, refs array<string>")
+    hits = spark.createDataFrame([(2, 1, "W2", "Shallow trees", ["W3"]), (2, 2, "W4", "Deep graph kernels again", ["W5"]), (3, 1, "W6", "Deep kernels", []), (1, 1, "W7", "any", [])], "id long, pos int, ref string, title string, refs array<string>")
+    got = {x.paper_id: (x.own_ref, x.refs) for x in resolve.references(r, works, hits).collect()}
+    assert got == {1: ("W1", ["W8", "W9"]), 2: ("W4", ["W5"]), 3: ("W6", [])}
+
+
+def test_titles_are_looked_for_in_the_order_of_sources(spark):
+    r = spark.createDataFrame([(1, "Deep graph kernels at scale"), (2, "Sparse image retrieval by night"), (3, "Short"), (4, "Plain methods for nothing known")], "id long, title string")
+    c = spark.createDataFrame(
+        [
+            ("crossref", 1, 90.0, "Deep graph kernels at scale", 2001, "C", "d1"), ("arxiv", 5, None, "Deep graph kernels on scale", 2000, "A", "d2"), ("arxiv", 6, None, "Deep graph kernels at scale", 1999, "A", "d3"),
+            ("crossref", 3, 10.0, "Sparse image retrieval by night", 2002, "low score", ""), ("crossref", 4, 60.0, "Sparse image retrieval at night", 2003, "too far", ""), ("crossref", 2, 60.0, "Sparse image retrieval by day night", 2004, "C", ""),
+        ],
+        "source string, pos int, score double, title string, year int, venue string, doi string",
+    )
+    assert {x.id: (x.found_year, x.found_venue) for x in resolve.enrich_by_title(r, c).collect()} == {1: (2000, "A"), 2: (2004, "C")}
+
+
+def test_places_of_annotations(spark):
+    rows = [(i, 1, i % 5 if i % 7 else None) for i in range(40)] + [(3, 2, 1), (2, 2, 1), (9, 2, 0)]
+    a = spark.createDataFrame([(i, p, g, datetime(2024, 1, 1), None, "n") for i, p, g in rows], "id long, paper_id long, page int, created_at timestamp_ntz, quote string, note string")
+    got = {(r.paper_id, r.place): r.id for r in library.annotations_of(a).collect()}
+    for paper in (1, 2):
+        own = sorted((-1 if g is None else g, i) for i, p, g in rows if p == paper)
+        assert [got[paper, k] for k in range(1, len(own) + 1)] == [i for _, i in own]
+
+
+def test_notes_file_and_backup(spark, make_papers, tmp_path):
+    p = make_papers({"title": "a", "notes": "x"}, {"title": "b", "notes": "y"}, {"title": "none"})
+    rows = exports.notes_file(p, NOW).collect()
+    assert [r.part for r in rows] == ["head", "section", "section"] and [r.id for r in rows] == [None, 2, 1] and "共 2 篇" in rows[0].text
+    (tmp_path / "up").mkdir()
+    for n in range(3):
+        (tmp_path / f"up/{n} a%20.pdf").write_bytes(b"%PDF-" + bytes(n))
+    store = Snapshots(spark, f"{tmp_path}/lib")
+    store.publish(0, papers=p)
+    done = store.backup(f"{tmp_path}/out", uploads=str(tmp_path / "up"), note="how to restore").collect()
+    assert sorted(r["size"] for r in done) == [5, 6, 7] and (tmp_path / "out/uploads/2 a%20.pdf").read_bytes() == b"%PDF-\0\0"
+    assert spark.read.parquet(f"{tmp_path}/out/papers.parquet").count() == 3 and (tmp_path / "out/RESTORE.txt").read_text() == "how to restore"

@@ -47,3 +47,11 @@ def test_learns_values_with_separators_inside(spark):
 
 def test_empty_table(spark):
     assert split_values(spark.createDataFrame([], "id long, authors string, keywords string"), "id", ["authors", "keywords"]).count() == 0
+
+
+def test_terms_with_several_separators_inside(spark):
+    rows = [(i, "A. Lee", f"term {i % 9}, research, development and innovation, other {i % 7}") for i in range(60)] + [(100 + i, "B. Ray", f"term {i % 9}, innovation {i % 5}") for i in range(40)]
+    out = {}
+    for r in split_values(spark.createDataFrame(rows, "id long, authors string, keywords string"), "id", ["authors", "keywords"]).where("field_name = 'keywords'").collect():
+        out.setdefault(r.id, {})[r.pos] = r["item"]
+    assert [out[3][k] for k in sorted(out[3])] == ["term 3", "research, development and innovation", "other 3"] and list(out[103].values()) == ["term 3", "innovation 3"]
