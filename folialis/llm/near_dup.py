@@ -9,7 +9,8 @@ so often by chance that the candidates grow as the square of the input. The join
 drops those that are clearly apart; those not clearly close are then compared exactly by their sets of shingles.
 
 Scale. Texts of one word sequence form a class, and only the smallest id of a class is compared, so that copies cost
-nothing. No text is moved but those of pairs near the threshold. Every join is an equi-join on a key of many values.
+nothing. No text is moved but those of pairs near the threshold. Block keys are shuffled and sorted once, and the pairs of each key's run are formed while its rows stream by. A key (or, for
+the pairs within a class, a class) of more than HOT rows is cut into parts of HOT, and every two parts meet in a task of their own, so all its pairs come out without one task that holds them.
 
 Edge cases. Null or blank text: the row takes part in no pair. Fewer words than a shingle: likewise. Rows with the
 same id twice: one of them counts. Other columns of the input are ignored, whatever their names.
@@ -35,6 +36,8 @@ SIGMAS = 4.5
 
 #: Ids (of 8 bytes) up to which those of texts to compare exactly are sent to all executors.
 FEW = 1_000_000
+#: Rows of one block key or class of which the pairs are formed in one task.
+HOT = 2_000
 #: 64-bit words of a sketch.
 SKETCH = M * 2 // 64
 _PRINT = "id long, c1 long, c2 long, " + "".join(f"s{j} long, " for j in range(SKETCH)) + "blocks array<long>"
@@ -83,6 +86,70 @@ def _shingle_sets(k: int):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, -1) for each pair of ids of one key, from rows (id, key) sorted by key; of a key of more than HOT rows (id, key, number of its part) for each row."""
+    hot = HOT
+    ids, keys = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    large, seen = None, 0
+
+    def parts(i: np.ndarray, key: int, first: int) -> pa.RecordBatch:
+        return _rows(i, np.full(len(i), key, np.int64), (np.arange(first, first + len(i)) // hot).astype(np.int32))
+
+    def pairs(i: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(k)))
+        for n in np.unique(sizes[sizes > 1]).tolist():
+            if n > hot:
+                for at in starts[sizes == n].tolist():
+                    yield parts(i[at : at + n], int(k[at]), 0)
+                continue
+            x, y = np.triu_indices(n, 1)
+            # as many runs at once as give about a million pairs
+            of_size = starts[sizes == n]
+            step = max(1, 1_000_000 // len(x))
+            for lo in range(0, len(of_size), step):
+                block = i[of_size[lo : lo + step, None] + np.arange(n)]
+                a, b = block[:, x].ravel(), block[:, y].ravel()
+                low, high = np.minimum(a, b), np.maximum(a, b)
+                keep = low < high
+                yield _rows(low[keep], high[keep], np.full(int(keep.sum()), -1, np.int32))
+
+    for batch in batches:
+        i, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if large is not None:
+            # a large key goes on
+            n = int(np.searchsorted(k != large, True)) if len(k) and k[0] == large else 0
+            if n:
+                yield parts(i[:n], large, seen)
+                seen += n
+            if n == len(k):
+                continue
+            i, k, large = i[n:], k[n:], None
+        ids, keys = np.concatenate((ids, i)), np.concatenate((keys, k))
+        # the last run may go on in the next batch
+        last = int(np.flatnonzero(keys[:-1] != keys[1:])[-1]) + 1 if len(keys) > 1 and (keys[:-1] != keys[1:]).any() else 0
+        yield from pairs(ids[:last], keys[:last])
+        ids, keys = ids[last:], keys[last:]
+        if len(ids) > hot:
+            large, seen = int(keys[0]), len(ids)
+            yield parts(ids, large, 0)
+            ids, keys = ids[:0], keys[:0]
+    yield from pairs(ids, keys)
+
+
+def _rows(a: np.ndarray, b: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(part)], names=["a", "b", "part"])
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """(a, b): the pairs of ids within each key of rows (id, key, part, last), part from 0 to last: every two parts of a key are joined by themselves."""
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).select("id", "key", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    left = met.where("part = low").select(F.col("id").alias("x"), "key", "low", "high")
+    right = met.where("part = high").select(F.col("id").alias("y"), "key", "low", "high")
+    both = left.join(right, ["key", "low", "high"]).where((F.col("x") < F.col("y")) | (F.col("low") < F.col("high")) & (F.col("x") != F.col("y")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _text(title: str | None, body: str) -> Column:
     return F.col(body) if title is None else F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.col(body))
 
@@ -107,7 +174,12 @@ class NearDuplicates:
     @staticmethod
     def _links(rows: DataFrame, reps: DataFrame, shingle: int, threshold: float) -> DataFrame:
         keyed = reps.select("id", F.explode("blocks").alias("key"))
-        pairs = keyed.select(F.col("id").alias("a"), "key").join(keyed.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+        runs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_runs, "a long, b long, part int")
+        candidates = written(runs.distinct(), "candidates")
+        pairs = candidates.where("part < 0").select("a", "b")
+        large = candidates.where("part >= 0").select(F.col("a").alias("id"), F.col("b").alias("key"), "part")
+        if not large.isEmpty():
+            pairs = pairs.union(_across(large.join(large.groupBy("key").agg(F.max("part").alias("last")), "key"))).distinct()
         sketch = reps.select("id", *(f"s{j}" for j in range(SKETCH))).dropDuplicates(["id"])
         for side in ("a", "b"):
             pairs = pairs.join(sketch.select(F.col("id").alias(side), *(F.col(f"s{j}").alias(f"{side}{j}") for j in range(SKETCH))), side)
@@ -138,9 +210,10 @@ class NearDuplicates:
         """Every pair of rows: links between classes and pairs within a class, by way of the members."""
         m = self.members
         left, right = m.select(F.col("id").alias("x"), F.col("rep").alias("a")), m.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-        across = self.links.join(left, "a").join(right, "b").select("x", "y")
-        within = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
-        return across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        across = self.links.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        sizes = m.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+        copies = m.join(sizes, "rep").select("id", F.col("rep").alias("key"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), (F.col("parts") - 1).alias("last"))
+        return across.union(_across(copies))
 
     def edges(self) -> DataFrame:
         """The same groups with the fewest edges: links, and each copy tied to its representative."""

@@ -30,6 +30,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_papers(table(spark, d, "papers")).pairs().select(F.col("a").alias("paper_id_a"), F.col("b").alias("paper_id_b"))
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links between different texts: pairs of class representatives."""
+    return near_papers(table(spark, d, "papers")).links.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"))
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each paper with a text, with its class: the smallest id of the same words in the same order."""
+    return near_papers(table(spark, d, "papers")).members.select(F.col("id").alias("paper_id"), "rep")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return find(table(spark, d, "papers"), "id", ["title", "fulltext"]).select(F.col("id").alias("paper_id"), "field_name")
 
@@ -49,10 +59,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     papers = table(spark, d, "papers")
-    dois = papers.select("id", usable_doi(F.col("doi")).alias("doi"))
-    groups = components(near_papers(papers).edges().union(doi_edges(dois)))
-    rows = papers.select("id", "doi", "venue", "created_at", "updated_at").join(groups, "id")
-    values = {"doi": usable_doi(F.col("doi")), "venue": usable_venue(F.col("venue"))}
+    # values are read once, for the edges and for the choice
+    records = written(papers.select("id", usable_doi(F.col("doi")).alias("doi"), usable_venue(F.col("venue")).alias("venue"), "created_at", "updated_at"), "records")
+    groups = components(near_papers(papers).edges().union(doi_edges(records.select("id", "doi"))))
+    rows = records.join(groups, "id")
+    values = {"doi": F.col("doi"), "venue": F.col("venue")}
     trust = credible(F.col("updated_at"), F.col("created_at"), COPIED)
     return choose(rows, "component", "id", values, F.col("updated_at"), trust, now=COPIED).withColumnRenamed("component", "group_id")
 
@@ -97,7 +108,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(score(table(spark, d, "documents"), "doc_id", "text", "source"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts, "p7_held": p7_held, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p1_members": p1_members, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_prompts": p7_prompts, "p7_held": p7_held, "p8_found": p8_found, "p8_rates": p8_rates}
 # Brute force: every pair of texts that share a run of words. It is for the small tables on which the results are compared.
 _PAIRS = r"""w AS (SELECT id, regexp_extract_all(regexp_replace(lower(coalesce(title, '') || ' ' || fulltext), '([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS k FROM papers WHERE trim(fulltext, ' ') <> ''),
 s AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2]))) AS g FROM w), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
@@ -108,6 +119,8 @@ dois AS (SELECT id, doi FROM d1 WHERE doi <> '' AND regexp_extract(doi, '^[^/]+/
 SQL: dict[str, str] = {
     "p7_held": "SELECT count(DISTINCT doc_id) AS n_documents, 0 AS n_missing, 0 AS n_broken, 0 AS n_split, 0 AS n_over, false AS wrong_model, false AS wasteful FROM documents",
     "p1_found": f"WITH {_PAIRS} SELECT a AS paper_id_a, b AS paper_id_b FROM pairs",
+    "p1_members": f"WITH {_PAIRS} SELECT id AS paper_id, min(id) OVER (PARTITION BY array_to_string(k, ' ')) AS rep FROM w WHERE len(k) >= 3",
+    "p1_links": f"WITH {_PAIRS}, r AS (SELECT min(id) AS rep FROM w GROUP BY array_to_string(k, ' ')) SELECT a AS rep_a, b AS rep_b FROM pairs WHERE a IN (SELECT rep FROM r) AND b IN (SELECT rep FROM r)",
     "p5_found": f"""WITH RECURSIVE {_PAIRS}, {_DOI}, e AS (SELECT a, b FROM pairs UNION SELECT x.id, y.id FROM dois x JOIN dois y ON x.doi = y.doi AND x.id < y.id), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS id, a AS m FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id WHERE r.m < u.b), g AS (SELECT id, min(m) AS group_id FROM r GROUP BY id),
 p AS (SELECT g.group_id, p.id, dois.doi, lower(regexp_replace(venue, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS v, CASE WHEN updated_at >= created_at AND updated_at <= TIMESTAMP '{COPIED}' THEN updated_at END AS t FROM g JOIN papers p ON p.id = g.id LEFT JOIN dois ON dois.id = p.id)

@@ -67,7 +67,16 @@ def choose(rows: DataFrame, group: str, id: str, values: dict[str, Column], upda
     return rows.select(F.col(group).alias("g")).distinct().join(picked, "g", "left").withColumnRenamed("g", group)
 
 
+#: Rows of one DOI that are tied to its smallest id in one task.
+HOT = 100_000
+
+
 def doi_edges(rows: DataFrame) -> DataFrame:
-    """(a, b): every row of (id, doi) tied to the smallest id with the same DOI."""
-    first = rows.where("doi is not null").groupBy("doi").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first, "doi").where("id <> a").select("a", F.col("id").alias("b"))
+    """(a, b): every row of (id, doi) tied to the smallest id with the same DOI. A DOI of more than HOT rows is spread over as many tasks as it needs."""
+    known = rows.where("doi is not null")
+    first = known.groupBy("doi").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / HOT).cast("int"))
+    # at most one DOI for HOT rows
+    hot = F.broadcast(first.where("parts > 1").select("doi", "parts"))
+    left = known.join(hot, "doi", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    right = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("doi", "part", "a")
+    return left.join(right, ["doi", "part"]).where("id <> a").select("a", F.col("id").alias("b"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,30 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 3, 7])
+def test_hot_keys_and_classes_give_all_pairs(spark, monkeypatch, hot):
+    from folialis.llm import near_dup as D
+
+    monkeypatch.setattr(D, "HOT", hot)
+    r = random.Random(9)
+    keys = [(i, k) for k in range(12) for i in r.sample(range(100), r.choice([1, 2, 3, 5, 8, 20]))]
+    table = spark.createDataFrame(keys, "id long, key long")
+    arrow = [b for lo in range(0, len(keys), 7) for b in [pa.RecordBatch.from_pandas(table.orderBy("key").toPandas().iloc[lo : lo + 7], preserve_index=False)]]
+    out = pa.Table.from_batches(list(D._runs(iter(arrow)))).to_pylist()
+    large = spark.createDataFrame([(x["a"], x["b"], x["part"]) for x in out if x["part"] >= 0] or [(0, 0, 0)], "id long, key long, part int")
+    got = {(x["a"], x["b"]) for x in out if x["part"] < 0} | {tuple(x) for x in D._across(large.join(large.groupBy("key").agg(F.max("part").alias("last")), "key")).collect()}
+    of = {}
+    for i, k in keys:
+        of.setdefault(k, set()).add(i)
+    assert got == {(a, b) for x in of.values() for a in x for b in x if a < b}
+
+
+def test_pairs_within_large_classes(spark, monkeypatch):
+    from folialis.llm import near_dup as D
+
+    monkeypatch.setattr(D, "HOT", 6)
+    text = "the same words again and again in many rows of one table"
+    nd = NearDuplicates(spark.range(30).select("id", F.lit(text).alias("t")), "id", "t", shingle=3, threshold=0.5)
+    assert sorted((r.a, r.b) for r in nd.pairs().collect()) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
