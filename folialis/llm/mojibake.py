@@ -5,7 +5,7 @@ which no chain of encodings applies anywhere. In every other record each span to
 scored as it stands and as the chain restores it, with its neighbours; the likeliest reading wins if it is better than
 the stored one by a margin. The margin is set on all clean records, as they are, in capitals and garbled by us, as the smallest that keeps the false alarms
 on untouched ones under a stated rate in every chain. Chains are applied again to their own result, so text garbled twice is
-restored in two steps. A replacement character or a C1 control character left over is a loss of its own, if a letter or mark in its place is likelier by the same margin.
+restored in two steps. A replacement character, which only a decoder that failed leaves, and a C1 control character left over are losses of their own, whatever the model says.
 
 Scale. The model's counts are kept in tables of a fixed number of hashed cells, whatever the input: only these are shuffled and broadcast (a few MB). Training, the choice of the margin (a histogram of fixed size for each chain) and scoring are
 one pass each over the texts, and a record without a suspicious character costs one search.
@@ -84,8 +84,6 @@ _PAIR = re.compile(f"[{re.escape(_LEADS)}][{re.escape(_TAILS)}]")
 _HIGH = re.compile("[¡-÷][¡-þ]")
 _SUSPECT = re.compile(f"{_PAIR.pattern}|{_HIGH.pattern}|[\x80-\x9f]|�|&[A-Za-z]{{2,8}};|[㐀-鿿]")
 _LOSS = re.compile("[\x80-\x9f�]")
-#: Letters and marks beyond ASCII that are lost most often, and frequent ASCII ones; a loss character is weighed against each.
-LOSABLE = "éèàêçäöüßñ’“”–·eans ，。的"
 _ENTITY = re.compile(r"&[A-Za-z]{2,8};")
 _RUN = re.compile(r"(?:[^\x00-\x7f]\??)+[\x00-\x7f]?")
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
@@ -258,19 +256,9 @@ class Model:
                 parts += [text[at:a], r]
                 at = z
             text = "".join(parts) + text[at:]
-        lost = self.lost(text, margin)
+        lost = bool(_LOSS.search(text))
         return text, hit or lost, not lost
 
-    def lost(self, s: str, margin: float) -> bool:
-        """Whether a loss character stands where some letter or mark that encodings lose is likelier by the margin: the last chain, which cannot restore."""
-        for m in _LOSS.finditer(s):
-            i = m.start()
-            a, z = s[max(0, i - CONTEXT) : i], s[i + 1 : i + 1 + CONTEXT]
-            stored = self.score(a + m.group() + z, len(a))
-            if any(self.score(a + x + z, len(a)) - stored >= margin for x in LOSABLE):
-                return True
-        return False
-
 
 def suspect(s: str) -> bool:
     """Whether anything in a text may be garbled; plain ASCII is seen at once."""

@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 
 from folialis.llm.mojibake import SINGLE, byte_table, find
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 CLEAN = [
     "Près du lac, l’équipe a étudié la détection d’échos à grande échelle.", "Die größenbeschränkte Prüfsumme überträgt sich gleichmäßig auf Straßenschilder.", "The range 10–20 was searched near Brévalle Bay at 20 °C, with ±3 and “quotes”.",
     "本文研究人流计数，并讨论半数标签缺失的情形。实验表明，图中的结果可靠。", "Un essai « différé » coûte 5 £ près de la forêt, où l’été s’étend.",
@@ -91,3 +94,25 @@ def test_margin_of_each_chain():
     assert J.margin_of(table) == 21 * J.WIDE
     table[1, 2, J.BINS // 2 + 8] = 50
     assert J.margin_of(table) == 8 * J.WIDE
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_planted_records_are_restored(spark):
+    """Clean records of the tables garbled by every chain: what held no loss must come back as it was."""
+    from folialis.llm import mojibake as J
+
+    rows = spark.read.parquet(f"{SF}/papers.parquet").select("id", "title", "summary").where("title is not null").collect()
+    clean = [(r.id, r.title, r.summary or "") for r in rows if not any(J.suspect(x) and J.suspicious(x) for x in (r.title, r.summary or ""))]
+    planted, k = {}, 1_000_000
+    for n, (_, title, summary) in enumerate(clean):
+        text = f"{title}. {summary}"
+        wrong = J.garble(text, J.CHAINS[n % len(J.CHAINS)])
+        # control characters that a page would not keep are losses
+        if not text.isascii() and wrong and wrong != text and not J._LOSS.search(wrong):
+            planted[k] = (text, wrong, J.CHAINS[n % len(J.CHAINS)])
+            k += 1
+    df = spark.createDataFrame([*clean, *((i, "x", wrong) for i, (_, wrong, _) in planted.items())], "id long, title string, summary string")
+    got = {(r.id, r.field_name): r.restored for r in find(df, "id", ["title", "summary"]).collect()}
+    right = [got.get((i, "summary")) == text for i, (text, _, _) in planted.items()]
+    assert len(planted) > 20 and sum(right) >= 0.9 * len(right)
+    assert not [key for key in got if key[0] < 1_000_000]
