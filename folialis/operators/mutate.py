@@ -147,7 +147,7 @@ def input_of(papers: DataFrame) -> DataFrame:
 
 
 def paper_of(requests: DataFrame) -> DataFrame:
-    """(key, columns of a paper) from requests (key, body), a JSON object each: texts are trimmed but for notes, what is missing or of another type is '' , 0, false or null.
+    """(key, columns of a paper) from requests (key, body), a JSON object each: texts are trimmed but for notes, what is missing or of another type is '', 0, false or null.
 
     Names in the body are in camel case as clients send them. status counts only where it is given, else it follows read. A body that is no object gives blank columns.
     """
