@@ -61,3 +61,13 @@ def test_enrich_by_title_shuffles_no_candidates(spark, titles, overlaps, monkeyp
             want[a] = min(want.get(a, (9, 0)), (rank, b))
     assert {r.id: r.found_year for r in got} == {a: b for a, (_, b) in want.items()} and len(got) == len(want)
     assert moved < 300_000 or hot == 10
+
+
+@pytest.mark.parametrize("hot", [50_000, 10])
+def test_similar_titles_shuffles_no_candidates(spark, titles, overlaps, monkeypatch, hot):
+    monkeypatch.setattr(resolve, "HOT", hot)
+    d = spark.createDataFrame(titles, "id long, title string")
+    got, moved = run(spark, resolve.similar_titles(d, d, 0.7))
+    want = {k: o for k, o in overlaps.items() if o >= 0.7 and k[0] != k[1]}
+    assert {(r.id_a, r.id_b): r.overlap for r in got} == want and len(got) == len(want)
+    assert moved < 300_000 or hot == 10
