@@ -71,3 +71,16 @@ def test_similar_titles_shuffles_no_candidates(spark, titles, overlaps, monkeypa
     want = {k: o for k, o in overlaps.items() if o >= 0.7 and k[0] != k[1]}
     assert {(r.id_a, r.id_b): r.overlap for r in got} == want and len(got) == len(want)
     assert moved < 300_000 or hot == 10
+
+
+@pytest.mark.parametrize("hot", [50_000, 10])
+def test_search_by_title_shuffles_no_candidates(spark, titles, overlaps, monkeypatch, hot):
+    monkeypatch.setattr(resolve, "HOT", hot)
+    d = spark.createDataFrame(titles, "id long, title string")
+    got, moved = run(spark, resolve.search_by_title(d, d))
+    want = {}
+    for (a, b), o in overlaps.items():
+        if a != b and o >= 0.7:
+            want[a] = min(want.get(a, (0, 0)), (-o, b))
+    assert {r.id: (-r.overlap, r.entry_id) for r in got} == want and len(got) == len(want)
+    assert moved < 300_000 or hot == 10
